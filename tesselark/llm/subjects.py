@@ -81,11 +81,15 @@ def leaves_of(pages: DataFrame, words: list[int]) -> DataFrame:
     return model.transform(vectors).select("id", "words", "counts", "leaf")
 
 
-def _matrix(rows: list, heights: dict, widths: dict) -> np.ndarray:
+def _counts(rows: DataFrame, heights: np.ndarray | None, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``height, width, count`` as a matrix over the sorted ``heights`` (those that occur, if none are given) and
+    ``widths``; they reach the driver as Arrow columns, without an object per row."""
+    got = rows.toArrow()
+    h, w, n = (got.column(k).to_numpy() for k in range(3))
+    heights = np.unique(h) if heights is None else heights
     out = np.zeros((len(heights), len(widths)))
-    for h, w, n in rows:
-        out[heights[h], widths[w]] = n
-    return out
+    out[np.searchsorted(heights, h), np.searchsorted(widths, w)] = n
+    return heights, out
 
 
 def _log_odds(weights: np.ndarray, overall: np.ndarray) -> np.ndarray:
@@ -161,22 +165,18 @@ def subjects(bags: DataFrame, dictionary: DataFrame, seeds: DataFrame) -> DataFr
     if pages.where("size(words) > 0").isEmpty() or labels.isEmpty():
         return nothing
     grouped = cut(leaves_of(pages, words), "leaves")
-    at = {w: i for i, w in enumerate(words)}
-    leaf_rows = grouped.select("leaf", F.explode("words").alias("word")).groupBy("leaf", "word").count().collect()  # leaves x vocabulary
-    seed_rows = grouped.join(labels, "id").select("classification", F.explode("words").alias("word")).groupBy("classification", "word").count().collect()  # classes x vocabulary
-    leaves, classes = sorted({r[0] for r in leaf_rows}), sorted({r[0] for r in seed_rows})
-    if not classes:
+    known = np.array(words, np.int64)
+    _, leaf_terms = _counts(grouped.select("leaf", F.explode("words").alias("word")).groupBy("leaf", "word").count(), None, known)
+    classes, seed_terms = _counts(grouped.join(labels, "id").select("classification", F.explode("words").alias("word")).groupBy("classification", "word").count(), None, known)
+    if not len(classes):
         return nothing
-    leaf_terms = _matrix(leaf_rows, {x: i for i, x in enumerate(leaves)}, at)
-    seed_terms = _matrix(seed_rows, {x: i for i, x in enumerate(classes)}, at)
     overall = leaf_terms.sum(0)
     speaks = term_classes(leaf_terms, seed_terms, overall)
-    known = np.array(words, np.int64)
     context = bags.sparkSession.sparkContext
     for _ in range(REFINEMENTS):
         shared = context.broadcast((known, speaks, np.array(classes, np.int32)))
-        rows = grouped.mapInArrow(lambda batches, shared=shared: _led(batches, shared.value), "class int, word int, pages long").groupBy("class", "word").agg(F.sum("pages")).collect()  # classes x vocabulary
-        speaks = clear_terms(_matrix(rows, dict(enumerate(range(len(classes)))), dict(enumerate(range(len(words))))), overall)
+        rows = grouped.mapInArrow(lambda batches, shared=shared: _led(batches, shared.value), "class int, word int, pages long").groupBy("class", "word").agg(F.sum("pages"))
+        speaks = clear_terms(_counts(rows, np.arange(len(classes)), np.arange(len(words)))[1], overall)
     share = context.broadcast((known, speaks, np.array(classes, np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
