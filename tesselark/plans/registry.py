@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesselark.plans import reshaping
+from tesselark.plans import analyses, reshaping
 
-QUERIES = {**reshaping.QUERIES}
-SQL = {**reshaping.SQL}
+QUERIES = {**reshaping.QUERIES, **analyses.QUERIES}
+SQL = {**reshaping.SQL, **analyses.SQL}

@@ -42,6 +42,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that a loop adds to: each round's rows are written once, beside those of the rounds before."""
+
+    def __init__(self, first: DataFrame, label: str = "rounds"):
+        self.spark, self.schema, self.path, self.count = first.sparkSession, first.schema, scratch_path(first.sparkSession, label), 0
+        self.last = self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/part-{self.count}"
+        rows.write.parquet(path)
+        self.count += 1
+        self.last = self.spark.read.schema(self.schema).parquet(path)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/part-{k}" for k in range(self.count)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
