@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 #: Bytes of text indexed at once; a single longer record is indexed alone.
 MAX_BYTES = 16 << 20
 
-_OPEN, _CLOSE = frozenset(b"{["), frozenset(b"}]")
-
 
 def _is(data: np.ndarray, chars: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
@@ -72,10 +70,11 @@ class StructuralIndex:
         start, stop = pos[i] + 1, pos[i + 1] if len(i) else pos[i]
         blank = _is(data, b" \t\r\n")
         solid = np.append(np.cumsum(~blank), 0)  # number of solid bytes up to and with each byte
-        first = np.searchsorted(solid[:-1], solid[start - 1] + 1) if len(i) else start
+        after = lambda at: np.searchsorted(solid[:-1], solid[at - 1] + 1)  # noqa: E731 - the first solid byte from ``at`` on
+        first = after(start) if len(i) else start
         filled = first < stop  # '[]' has no member
         i, start, stop = i[filled], first[filled], stop[filled]
-        key_at = np.where(in_object[i], pos[i - 1] + 1, -1)
+        key_at = np.where(in_object[i], after(pos[i - 1] + 1), -1) if len(i) else i
         self.start, self.stop, self.container = start, stop, container[i]
         self.key_start, self.key_stop = key_at, np.where(in_object[i], pos[i], -1)
         token_of_container = np.flatnonzero(is_open)
@@ -95,14 +94,12 @@ class StructuralIndex:
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return np.repeat(lo, count) + offset, parent
 
-    def _quoted(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return start, stop
-
     def with_key(self, members: np.ndarray, key: str) -> np.ndarray:
         """Which of ``members`` have this key."""
         wanted = json.dumps(key, ensure_ascii=False).encode()
         s, e = self.key_start[members], self.key_stop[members]
         hit = np.flatnonzero((s >= 0) & (e - s >= len(wanted)))
+        # keys written with escapes would need unescaping; a key that equals ``key`` only then is not looked for
         for j, byte in enumerate(wanted):
             hit = hit[self.data[s[hit] + j] == byte]
         return hit

@@ -29,7 +29,8 @@ def ranked(table: DataFrame) -> DataFrame:
 
 def pair_counts(pages: DataFrame, tokens: Column, known: DataFrame | None = None, least_words: int = 2) -> DataFrame:
     """``word, count`` of adjacent tokens joined by a space; both must be known if a table of words is given."""
-    rows = pages.select(F.explode(nlp.pairs(tokens)).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("count"))
+    # tokens are a column of their own, so that they are worked out once per page
+    rows = pages.select(tokens.alias("tokens")).select(F.explode(nlp.pairs(F.col("tokens"))).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("count"))
     if known is not None:
         names = broadcast_if_small(known.select("word").distinct())
         rows = rows.join(names.withColumnRenamed("word", "left"), "left", "left_semi").join(names.withColumnRenamed("word", "right"), "right", "left_semi")
