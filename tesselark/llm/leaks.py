@@ -177,7 +177,8 @@ class FmIndex:
     """FM-index of a sequence over 1..symbols-1, in which 0 separates passages."""
 
     def __init__(self, text: np.ndarray, symbols: int):
-        self.n = len(text)
+        if not len(text) or text[-1]:
+            text = np.append(text, 0)  # else the last symbol would have no row behind it, and ranks of its like be one short
         order = suffix_order(text)
         before = np.where(order > 0, text[np.maximum(order - 1, 0)], 0)
         self.first = np.append(0, np.cumsum(np.bincount(text, minlength=symbols)))
