@@ -216,7 +216,13 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     ``removed`` are the numbers of nodes (of :func:`read`) that are noise."""
     text = text.replace("\r\n", "\n")
     nodes, plain, opaque = read(text)
-    gone = [(nodes[i].start, nodes[i].end) for i in removed if i < len(nodes)]
+    if removed:
+        pieces, at = [], 0
+        for start, end in sorted((nodes[i].start, nodes[i].end) for i in removed if i < len(nodes)):
+            pieces.append(text[at : max(at, start)])
+            at = max(at, end)
+        text = "".join([*pieces, text[at:]])
+        _, plain, opaque = read(text)
     kept: list[str] = []
 
     def hold(piece: str) -> str:
@@ -228,24 +234,20 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
         if start < at:
             continue
         parts.append(plain[at:start])
-        if not any(a <= start < b for a, b in gone):
-            if path == "code":
-                body = html.unescape(re.sub(r"^\s*<code\b[^<>]*>|</code\s*>\s*$", "", inner)) if text[start] == "<" else inner
-                parts.append("\n" + hold("```\n" + body.strip("\n") + "\n```") + "\n")
-            elif path == "formula":
-                if re.search(r"</?m[a-z]+", inner):
-                    inner = re.sub(r"<[^<>]*>", " ", inner)
-                long = text[start : start + 2] in ("$$", "\\[", "\\b")
-                inner = " ".join(inner.split())
-                parts.append(hold(f"$${inner}$$" if long else f"${inner}$"))
-            elif path != "comment":
-                parts.append(hold(inner))
+        if path == "code":
+            body = html.unescape(re.sub(r"^\s*<code\b[^<>]*>|</code\s*>\s*$", "", inner)) if text[start] == "<" else inner
+            parts.append("\n" + hold("```\n" + body.strip("\n") + "\n```") + "\n")
+        elif path == "formula":
+            if re.search(r"</?m[a-z]+", inner):
+                inner = re.sub(r"<[^<>]*>", " ", inner)
+            long = text[start : start + 2] in ("$$", "\\[", "\\b")
+            inner = " ".join(inner.split())
+            parts.append(hold(f"$${inner}$$" if long else f"${inner}$"))
+        elif path != "comment":
+            parts.append(hold(inner))
         at = end
     parts.append(plain[at:])
-    lines, offset, dropped = "".join(parts), 0, set()
-    if gone:  # noise is dropped by content, for offsets have moved
-        dropped = {" ".join(text[a:b].split()) for a, b in gone}
-    body = _DROPPED.sub("", lines)
+    body = _DROPPED.sub("", "".join(parts))
     body = re.sub(r"^[ \t:]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}[^\n]*$", lambda m: "\n".join(" | ".join(c.strip() for c in re.split(r"\|\||!!", r.lstrip("|!").strip())) for r in m[1].split("\n") if r.strip() and not r.startswith("|-") and not r.startswith("|+")), body, flags=re.S | re.M)
     for _ in range(4):
         body, n = _TEMPLATE.subn(_template_text, body)
@@ -286,7 +288,7 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
         elif _MD_ROW.match(line):
             line = " | ".join(c.strip() for c in line.strip().strip("|").split("|"))
         out.append(line.rstrip())
-    body = html.unescape("\n".join(x for x in out if " ".join(x.split()) not in dropped or not x))
+    body = html.unescape("\n".join(out))
     body = re.sub(r"\ue002(\d+)\ue003", lambda m: kept[int(m[1])], body).replace(_FILL, "")
     return re.sub(r"\n{3,}", "\n\n", body).strip("\n")
 
