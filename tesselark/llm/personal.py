@@ -175,6 +175,9 @@ class Finder:
         begin = local.start() + len(local[0]) - len(local[0].lstrip(".'-%"))
         if begin >= sign.start() or not re.search(r"[A-Za-z0-9]", text[begin : sign.start()]):
             return None
+        word = sign[0].strip().lower() == "at"
+        if word and sign[0].strip() != "AT" and text[begin : sign.start()].isalpha():
+            return None  # 'met at noon dot com' is prose
         spaced = sign[0][:1].isspace() or sign[0][-1:].isspace()
         if spaced and text[begin : sign.start()][-1] in ".,;:":
             return None
