@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.operators.graph import reachable
+from tesselark.runtime import broadcast_if_small
 
 #: Smoothing of every count, and the first word number that says something.
 BASE_COUNT, FIRST_WORD, CLASSES = 5, 55, 20
@@ -28,7 +29,7 @@ def _exploded(bags: DataFrame) -> DataFrame:
 def train_bayes(bags: DataFrame, labels: DataFrame, dictionary: DataFrame, classes: int = CLASSES) -> DataFrame:
     """``word, logp``: per word the logarithms of its probabilities in classes 0, 1, ..., less the largest; without
     priors; words with small numbers are the function words and say nothing."""
-    counts = _exploded(bags).join(F.broadcast(labels.select("id", "classification")), "id")  # labels are few: seeds by hand
+    counts = _exploded(bags.join(broadcast_if_small(labels.select("id", "classification")), "id", "left_semi")).join(broadcast_if_small(labels.select("id", "classification")), "id")
     per_word = counts.groupBy("word").agg(*(F.sum(F.when(F.col("classification") == c, F.col("count")).otherwise(0)).alias(f"n{c}") for c in range(classes)))
     totals = counts.groupBy().agg(*(F.coalesce(F.sum(F.when(F.col("classification") == c, F.col("count"))), F.lit(0)).alias(f"t{c}") for c in range(classes)), F.lit(1).alias("one"))  # one row
     size = dictionary.agg(F.count("*").alias("size"))  # one row

@@ -12,7 +12,7 @@ from tesselark.functions import distributions, nlp, tagtree
 from tesselark.functions.fixed import PERSON_INFOBOXES
 from tesselark.functions.wikitext import clean_wikitext
 from tesselark.operators import categories, classify, eav, entities, graph, pages, words
-from tesselark.runtime import table
+from tesselark.runtime import bounded_collect, table
 from tesselark.sources import tables
 
 BOXES = ["settlement", *PERSON_INFOBOXES]
@@ -88,7 +88,8 @@ def word_bag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_tokens(spark: SparkSession, d: str) -> DataFrame:
-    known = [r[0] for r in words.prefix_dictionary(words.at_least(words.pair_counts(table(spark, d, "documents"), _tokens()), 100)).collect()]
+    frequent = words.prefix_dictionary(words.at_least(words.pair_counts(table(spark, d, "documents"), _tokens()), 100))
+    known = [r[0] for r in bounded_collect(frequent, words.MAX_DICTIONARY, "the dictionary of n-grams")]
     rows = table(spark, d, "documents").select("doc_id", nlp.ngram_tokens(known)(_tokens()).alias("tokens"))
     return rows.select("doc_id", F.size("tokens").alias("tokens"), F.size(F.filter("tokens", lambda t: t.contains(" "))).alias("ngrams"))
 

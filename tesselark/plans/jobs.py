@@ -88,7 +88,7 @@ def links(c: Corpus, s: dict) -> DataFrame:
 
 def ingest_wikidata(c: Corpus, s: dict, dump: str) -> DataFrame:
     raw = dumps.read_entities(c.spark, dump)
-    return c.write(entities.parse_entities(raw, c.read(s["index"]), s["claims"], s.get("instanceOf", []), s.get("requireWikipedia", [])), s["out"])
+    return c.write(entities.parse_entities(raw, c.read(s["index"]), s["claims"], s.get("instanceOf", []), s.get("requireArticle", [])), s["out"])
 
 
 def gender_index(c: Corpus, s: dict) -> DataFrame:

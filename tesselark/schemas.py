@@ -22,7 +22,7 @@ RAW_ENTITY = (
 )
 #: Namespaces of pages.
 NAMESPACES = {
-    0: "Article", 1: "Talk", 2: "User", 3: "User talk", 4: "Wikipedia", 5: "Wikipedia talk", 6: "File", 7: "File talk", 8: "MediaWiki", 9: "MediaWiki talk",
+    0: "Article", 1: "Talk", 2: "User", 3: "User talk", 4: "Project", 5: "Project talk", 6: "File", 7: "File talk", 8: "MediaWiki", 9: "MediaWiki talk",
     10: "Template", 11: "Template talk", 12: "Help", 13: "Help talk", 14: "Category", 15: "Category talk", 100: "Portal", 101: "Portal talk",
     118: "Draft", 119: "Draft talk", 710: "TimedText", 711: "TimedText talk", 828: "Module", 829: "Module talk",
 }
