@@ -25,7 +25,7 @@ from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.runtime import bounded_collect, cut
+from tesselark.runtime import bounded_collect, broadcast_if_small, cut
 
 #: The first words of the dictionary are function words.
 FUNCTION_WORDS = 55
@@ -196,5 +196,5 @@ def composition(found: DataFrame, names: DataFrame) -> DataFrame:
     parts."""
     parts = found.groupBy("classification").agg(F.count("*").alias("pages"), F.sum("share").alias("weight"))
     total = parts.select(F.sum("weight").alias("total"))  # one row
-    rows = parts.join(F.broadcast(names), "classification").join(F.broadcast(total))
+    rows = parts.join(broadcast_if_small(names), "classification").join(F.broadcast(total))
     return rows.select("classification", "class_name", "pages", (F.col("weight") / F.col("total")).alias("share"))
