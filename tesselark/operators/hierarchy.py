@@ -27,7 +27,7 @@ from tesselark.functions.titles import wiki_title
 from tesselark.runtime import cut
 
 #: Links per fragment, from which the number of fragments follows; the number of fragments falls by SHRINK per level.
-FRAGMENT_LINKS = 250_000
+FRAGMENT_LINKS = 25_000
 SHRINK = 4
 
 
