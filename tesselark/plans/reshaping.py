@@ -109,6 +109,13 @@ WITH latest AS (
 )
 """
 
+#: Datatypes of the listed properties, by the rule that the table of properties follows.
+_DATATYPES = dict(zip("P31 P21 P27 P569 P570".split(), "item item item date date".split(), strict=True))
+_DATATYPES |= dict(zip((f"P{n}" for n in range(9001, 9010)), "item date quantity quantity text item quantity text item".split(), strict=True))
+_DATATYPES |= {f"P{n}": ("text", "item", "quantity", "date")[n % 4] for n in range(9100, 9148)}
+_CASTS = {"quantity": "double", "date": "date"}
+_COLUMNS = ", ".join(f"cast(max(CASE WHEN property = '{p}' THEN cell END) AS {_CASTS.get(t, 'varchar')}) AS {p}" for p, t in _DATATYPES.items())
+
 _RECORDS = """
 WITH kept AS (
   SELECT * FROM raw_entities QUALIFY row_number() OVER (PARTITION BY cast(id AS varchar), cast(sitelinks AS varchar), cast(claims AS varchar) ORDER BY line_no) = 1
@@ -162,6 +169,7 @@ both_sides AS (
 
 SQL = {
     "p1_found": _CELLS + "SELECT id, property, claim_id FROM won",
+    "p1_wide": _CELLS + f"SELECT id, {_COLUMNS} FROM won GROUP BY id",
     "p5_found": _RECORDS
     + r"""SELECT DISTINCT line_no, 'claim' AS child, child_key, pos FROM c WHERE trim(claim.mainsnak.datavalue.value) NOT IN ('', 'null')
       UNION ALL SELECT DISTINCT line_no, 'sitelink', child_key, 0 FROM s WHERE trim(link.title) <> ''""",

@@ -13,7 +13,7 @@ def test_query_equals_its_sql(spark, name):
     oracle.compare(spark, registry.QUERIES[name], registry.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["clean_text", "wikitext_sections", "ngram_tokens", "gender_infer_nested", "topic_titles", "page_sample", "p1_wide", "p6_paths"])
+@pytest.mark.parametrize("name", ["clean_text", "wikitext_sections", "ngram_tokens", "gender_infer_nested", "topic_titles", "page_sample", "p6_paths"])
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, oracle.FOLDER).collect() is not None
 
