@@ -138,13 +138,18 @@ class NarrowTables:
         return self.spark.table(self.name).where(F.col("slot").isin(list(slots)))
 
     def narrow(self, slot: int) -> DataFrame:
-        """One attribute: ``id``, its typed value under its name, and the statement that fills it."""
+        """One attribute: ``id``, its typed value under its name, and the statement that fills it, as a struct that is
+        there if the cell is, even where the statement has no id."""
         a = self.attributes[slot]
         value = F.col("value").cast(TYPES.get(a.datatype, "string"))
-        return self._rows([slot]).select("id", value.alias(a.name), F.col("claim_id").alias(a.claim_column))
+        return self._rows([slot]).select("id", value.alias(a.name), F.struct("claim_id").alias(a.claim_column))
 
     def wide(self) -> DataFrame:
         """One row per entity that has a cell: ``id``, then for each attribute its value and the filling statement."""
+        columns = [c for a in self.attributes for c in (F.col(a.name), F.col(a.claim_column)["claim_id"].alias(a.claim_column))]
+        return self.joined().select("id", *columns)
+
+    def joined(self) -> DataFrame:
         n = len(self.attributes)
         fan = max(1, math.ceil(math.sqrt(n)))
         out = self._rows(range(n)).select("id").distinct()
@@ -166,6 +171,6 @@ def filled_cells(claims: DataFrame, properties: DataFrame) -> DataFrame:
     tables = NarrowTables(claims, properties)
     if not tables.attributes:
         return claims.sparkSession.createDataFrame([], "id long, property string, claim_id long")
-    pairs = F.array(*(F.struct(F.lit(a.name).alias("property"), F.col(a.claim_column).alias("claim_id"), F.col(a.name).isNotNull().alias("filled")) for a in tables.attributes))
-    rows = tables.wide().select("id", F.explode(pairs).alias("cell"))
-    return rows.where("cell.filled").select("id", "cell.property", "cell.claim_id")
+    pairs = F.array(*(F.when(F.col(a.claim_column).isNotNull(), F.struct(F.lit(a.name).alias("property"), F.col(a.claim_column)["claim_id"].alias("claim_id"))) for a in tables.attributes))
+    # values are not asked for, so that no narrow table reads them
+    return tables.joined().select("id", F.inline(F.array_compact(pairs)))
