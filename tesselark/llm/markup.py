@@ -1,10 +1,14 @@
 """Markup residue in pages: what kinds there are, and clean text that keeps headings, lists, code blocks and formulas.
 
-Each page is read into a tree of presentation nodes (headings, lists, code, formulas, tables, quotes, tags, links ...)
-whose leaves hold content. The trees of all pages of one host are merged into a site style tree: per path of presentation
-nodes, how many pages have it and on how many of them each content occurs. The entropy of a content over the pages of its
-path tells how important it is: content that stands on nearly every page (menus, notices) is presentation noise, content
-of its own is not. Branches of low importance are removed, the rest is rendered.
+Each page is read into a tree of branches (headings, lists, code, formulas, tables, quotes, block tags, environments,
+templates and links that stand alone) that span from their opening to their closing mark, with text blocks as leaves; marks
+within a line (links, emphasis, entities, references, commands) are part of the text block that holds them. The trees of all
+pages of one host are merged into a site style tree: per path of branches, how many pages have it and on how many of them
+each content occurs. The entropy of a content over the pages of its path tells how important it is: content that stands on
+nearly every page (notices, boxes of links) is presentation noise, content of its own is not. Branches of low importance are
+removed whole, the rest is rendered. Marks are no content and never removed by themselves; headings, lists, code, formulas,
+and the rows and cells of a table stand or fall with the branch around them. Paths on fewer than ``LEAST_PAGES`` pages of a
+host say too little for a judgement: there all branches stay.
 
 Defined results: null texts stay null, empty texts empty; unclosed markup ends with its line (code fences with the text);
 what is written in nowiki tags is plain text; signs in prose that no language reads as markup are left; texts are read
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -25,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselark.runtime import cut
+
 HEADING, LIST, CODE, FORMULA, OTHER = "heading", "list", "code", "formula", "other"
+TEXT = "text"
 #: Importance below which a branch is noise, and the fewest pages of a path from which that can be told.
 NOISE_BELOW, LEAST_PAGES = 0.3, 20
 
@@ -185,6 +193,227 @@ def kinds(text: str) -> set[str]:
     return {n.kind for n in read(text)[0]}
 
 
+#: Tags that make a block; those without an end tag; those that the next of their group, or the end of what is around them, ends.
+BLOCK_TAGS = LIST_TAGS | HEADING_TAGS | frozenset(
+    "address article aside blockquote body caption center col colgroup div figcaption figure footer form frame gallery head header hr html iframe imagemap "
+    "includeonly main meta nav noinclude onlyinclude p poem pre references script section select source style table tbody td textarea tfoot th thead title tr".split()
+)
+VOID_TAGS = frozenset("br hr img input meta link wbr col frame templatestyles".split())
+ENDED_BY = {x: frozenset(g) for g in (("p",), ("li",), ("dd", "dt"), ("tr",), ("td", "th"), ("option",)) for x in g}
+#: Branches that stand or fall with their table.
+TABLE_PARTS = frozenset(f"tag/{x}" for x in "tr td th caption col colgroup thead tbody tfoot".split())
+_BRACKETS = re.compile(r"\[\[|\]\]|^[ \t:]*\{\||^[ \t]*\|\}(?!\})|\{{2,}|\}|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{", re.M)
+_ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
+_BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
+_MARKS = re.compile(r"<!--.*?-->|\\(?:begin|end)\{[A-Za-z]+\*?\}|\\[A-Za-z]+\*?|[\[\]{}|*#=>'_~`]+", re.S)
+
+
+@dataclass
+class Branch:
+    """A branch of a page: span from opening to closing mark, kind, path from the root, hash of its content (none if it has
+    no words), and whether its importance decides that it stays. What ``holds`` others has them between opening and closing mark."""
+
+    start: int
+    end: int
+    kind: str
+    path: str
+    block: bool = True
+    holds: bool = False
+    opening: int = 0
+    closing: int = 0
+    content: bytes | None = None
+    judged: bool = False
+
+
+def _content(text: str) -> bytes | None:
+    """A hash of the words of a text without its marks; none without words."""
+    text = _MARKS.sub(" ", _TAG.sub(lambda m: " " if m[2].lower() in TAGS else m[0], text))
+    text = " ".join(html.unescape(text).split()).lower()
+    return blake2b(text.encode("utf-8", "replace"), digest_size=12).digest() if re.search(r"\w", text) else None
+
+
+def _spans(text: str) -> list[Branch]:
+    """All branches and marks of a page from opening to closing mark, in no order; what is unclosed ends with its line."""
+    nodes, plain, _ = read(text)
+    breaks = [m.start() for m in re.finditer("\n", plain)] + [len(plain)]
+    out: list[Branch] = []
+
+    def line_end(at: int) -> int:
+        return breaks[bisect_left(breaks, at)]
+
+    def alone(start: int, end: int) -> bool:
+        while start and plain[start - 1] in " \t":
+            start -= 1
+        while end < len(plain) and plain[end] in " \t\r":
+            end += 1
+        return (not start or plain[start - 1] == "\n") and (end >= len(plain) or plain[end] == "\n")
+
+    lines: list[Branch] = []
+    for n in nodes:
+        if n.path in ("quote", "table/row"):
+            path = n.path.partition("/")[0]
+            if lines and lines[-1].path == path and lines[-1].end + 1 == n.start:
+                lines[-1].end = n.end
+            else:
+                lines.append(Branch(n.start, n.end, OTHER, path))
+        elif n.path == "rule" or n.kind in (HEADING, LIST) and n.path.startswith((HEADING, LIST)) and not (n.kind == LIST and plain[n.start] == "\\"):
+            out.append(Branch(n.start, n.end, n.kind, n.path))
+        elif n.path in ("code", "formula"):
+            out.append(Branch(n.start, n.end, n.kind, n.path, alone(n.start, n.end)))
+        elif n.path in ("comment", "nowiki", "inline-code", "external", "image", "anchor", "emphasis"):
+            out.append(Branch(n.start, n.end, OTHER, n.path, False))
+    out += lines
+
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys(("link", "template", "table", "command"), 0)
+
+    def close(kind: str, end: int) -> None:
+        while True:
+            was, start = opened.pop()
+            count[was] -= 1
+            stop = end if was == kind else line_end(start)
+            out.append(Branch(start, stop, OTHER, was, was == "table" or was != "command" and alone(start, stop)))
+            if was == kind:
+                return
+
+    def open_(kind: str, start: int) -> None:
+        opened.append((kind, start))
+        count[kind] += 1
+
+    at = 0
+    for m in _BRACKETS.finditer(plain):
+        if m.start() < at:
+            continue
+        sign = m[0].strip(" \t:")
+        if sign == "[[":
+            open_("link", m.start())
+        elif sign == "{|":
+            open_("table", m.end() - 2)
+        elif sign.startswith("{{"):
+            open_("template", m.start())
+        elif sign.startswith("\\"):
+            if not sign.startswith(("\\begin{", "\\end{")):
+                open_("command", m.start())
+        elif sign == "]]":
+            if count["link"]:
+                close("link", m.end())
+        elif sign == "|}":
+            if count["table"]:
+                close("table", line_end(m.end()))
+        elif opened and opened[-1][0] == "command":
+            close("command", m.end())
+        elif plain.startswith("}}", m.start()):
+            at = m.end() + 1
+            if count["template"]:
+                close("template", at)
+        elif count["command"]:
+            close("command", m.end())
+    while opened:
+        close(opened[-1][0], line_end(opened[-1][1]))
+
+    tags: list[tuple[str, int, int]] = []
+    names: dict[str, int] = {}
+
+    def end_tag(end: int, closing: int = 0) -> None:
+        name, start, size = tags.pop()
+        names[name] -= 1
+        kind = LIST if name in LIST_TAGS else HEADING if name in HEADING_TAGS else CODE if name in CODE_TAGS else FORMULA if name in FORMULA_TAGS else OTHER
+        out.append(Branch(start, end, kind, f"tag/{name}", name in BLOCK_TAGS, kind in (OTHER, LIST), size, closing))
+
+    for m in _TAG.finditer(plain) if "<" in plain else ():
+        name = m[2].lower()
+        if name not in TAGS:
+            continue
+        if m[1]:
+            if names.get(name):
+                while tags[-1][0] != name:
+                    end_tag(m.start() if tags[-1][0] in ENDED_BY else line_end(tags[-1][1]))
+                end_tag(m.end(), m.end() - m.start())
+        elif name in VOID_TAGS or m[0].endswith("/>"):
+            out.append(Branch(m.start(), m.end(), OTHER, f"tag/{name}", name in BLOCK_TAGS))
+        else:
+            while tags and tags[-1][0] in ENDED_BY.get(name, ()):
+                end_tag(m.start())
+            tags.append((name, m.start(), m.end() - m.start()))
+            names[name] = names.get(name, 0) + 1
+    while tags:
+        end_tag(line_end(tags[-1][1]))
+
+    begun: list[tuple[str, int, int]] = []
+    for m in _ENVIRONMENT.finditer(plain) if "\\" in plain else ():
+        if m[1] == "begin":
+            begun.append((m[2], m.start(), m.end() - m.start()))
+        elif begun and begun[-1][0] == m[2]:
+            name, start, size = begun.pop()
+            kind = LIST if re.fullmatch(_LIST_ENV + r"\*?", name) else OTHER
+            out.append(Branch(start, m.end(), kind, f"environment/{name}", True, True, size, m.end() - m.start()))
+    return out
+
+
+def tree(text: str) -> list[Branch]:
+    """The branches of a page and the text blocks that are their leaves, parents first."""
+    root = Branch(0, len(text), OTHER, "", True, True)
+    found: list[tuple[Branch, Branch]] = []
+    inline: list[Branch] = []
+    stack = [root]
+    for b in sorted(_spans(text), key=lambda b: (b.start, -b.end)):
+        while len(stack) > 1 and stack[-1].end <= b.start:
+            stack.pop()
+        for around in reversed(stack):  # marks that cross: the one that began first holds the other
+            if around.end >= b.end:
+                break
+            around.end, around.closing = b.end, 0
+        if not stack[-1].block:
+            continue  # part of the text block
+        if b.block:
+            found.append((b, stack[-1]))
+        else:
+            inline.append(b)
+        stack.append(b)
+    ends = [b.end for b in inline]  # they do not overlap
+    children: dict[int, list[Branch]] = {}
+    for b, parent in found:
+        children.setdefault(id(parent), []).append(b)
+    kept = {id(root): False}
+    out: list[tuple[Branch, Branch]] = []
+    walk: list[tuple[Branch, Branch]] = [(root, root)]
+    while walk:
+        b, parent = walk.pop()
+        if b is not root:
+            own = b.path
+            b.path = f"{parent.path}>{own}" if parent.path else own
+            if len(b.path) > 400:
+                b.path = "..." + blake2b(b.path.encode(), digest_size=12).hexdigest()
+            b.judged = b.kind in (OTHER, TEXT) and not kept[id(parent)] and own not in TABLE_PARTS and not (b.kind == TEXT and parent.path.rpartition(">")[2] in TABLE_PARTS | {"tag/table"})
+            kept[id(b)] = kept[id(parent)] or b.kind in (HEADING, LIST, CODE, FORMULA)
+            out.append((b, parent))
+        if not b.holds:
+            continue
+        inner = children.setdefault(id(b), [])
+        at, leaves = b.start + b.opening, []
+        for start, end in [*((c.start, c.end) for c in inner), (b.end - b.closing, b.end)]:
+            cuts = []
+            for m in _BLANK_LINE.finditer(text, at, max(at, start)):
+                k = bisect_right(ends, m.start())
+                if k == len(ends) or inline[k].start >= m.end():
+                    cuts.append(m.span())
+            for to, behind in [*cuts, (start, end)]:
+                piece = text[at:to]
+                if piece.strip() and to > at:
+                    leaves.append(Branch(at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip()), TEXT, "text"))
+                at = max(at, behind)
+        walk += [(c, b) for c in reversed(sorted([*inner, *leaves], key=lambda c: c.start))]
+        children[id(b)] = inner + leaves
+    for b, _ in reversed(out):  # what holds branches has the contents of these
+        if b.holds:
+            parts = [c.content for c in sorted(children[id(b)], key=lambda c: c.start) if c.content]
+            b.content = blake2b(b"".join(parts), digest_size=12).digest() if parts else None
+        else:
+            b.content = _content(text[b.start : b.end])
+        b.judged = b.judged and b.content is not None
+    return [b for b, _ in out]
+
+
 _TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _DROPPED = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>|<(script|style|references|gallery|imagemap)\b[^<>]*>.*?</\1\s*>|<references\s*/>", re.S | re.I)
@@ -213,16 +442,15 @@ def _template_text(m: re.Match) -> str:
 
 def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     """Clean text. Headings become ``#`` lines, items ``-`` or numbered lines, code fenced blocks, formulas ``$`` spans.
-    ``removed`` are the numbers of nodes (of :func:`read`) that are noise."""
+    ``removed`` are the numbers of branches (of :func:`tree`) that are noise."""
     text = text.replace("\r\n", "\n")
-    nodes, plain, opaque = read(text)
     if removed:
-        pieces, at = [], 0
-        for start, end in sorted((nodes[i].start, nodes[i].end) for i in removed if i < len(nodes)):
+        branches, pieces, at = tree(text), [], 0
+        for start, end in sorted((branches[i].start, branches[i].end) for i in removed):
             pieces.append(text[at : max(at, start)])
             at = max(at, end)
         text = "".join([*pieces, text[at:]])
-        _, plain, opaque = read(text)
+    _, plain, opaque = read(text)
     kept: list[str] = []
 
     def hold(piece: str) -> str:
@@ -293,26 +521,23 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     return re.sub(r"\n{3,}", "\n\n", body).strip("\n")
 
 
-def _content(text: str) -> bytes:
-    return blake2b(" ".join(text.split()).lower().encode("utf-8", "replace"), digest_size=12).digest()
-
-
 def dom_nodes(pages: DataFrame, key: str = "id", text: str = "text", host: str | None = None) -> DataFrame:
-    """``id, page, host, node, markup_kind, path, content``: the presentation nodes of each distinct page text; ``content``
-    is a hash of what the branch holds. Texts themselves do not leave their task."""
+    """``id, page, host, node, markup_kind, path, content, judged``: the branches of each page text that have words;
+    ``content`` is a hash of these, ``node`` the number in :func:`tree`. Texts themselves do not leave their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for i, page, h, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                for n, node in enumerate(read(t.replace("\r\n", "\n"))[0] if t else ()):
-                    for column, value in zip(columns, (i, page, h, n, node.kind, node.path, _content(t[node.start : node.end])), strict=True):
-                        column.append(value)
-            kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["id", "page", "host", "node", "markup_kind", "path", "content"])
+                for n, b in enumerate(tree(t.replace("\r\n", "\n")) if t else ()):
+                    if b.content is not None:
+                        for column, value in zip(columns, (i, page, h, n, b.kind, b.path, b.content, b.judged), strict=True):
+                            column.append(value)
+            kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["id", "page", "host", "node", "markup_kind", "path", "content", "judged"])
 
     rows = pages.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("page"), (F.col(host) if host else F.lit("")).alias("host"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, page long, host string, node int, markup_kind string, path string, content binary")
+    return rows.mapInArrow(run, "id long, page long, host string, node int, markup_kind string, path string, content binary, judged boolean")
 
 
 def style_tree(nodes: DataFrame) -> DataFrame:
@@ -327,9 +552,9 @@ def style_tree(nodes: DataFrame) -> DataFrame:
 
 def clean_pages(pages: DataFrame, key: str = "id", text: str = "text", host: str | None = None) -> DataFrame:
     """``id, text``: the pages in clean text, without branches of low importance."""
-    nodes = dom_nodes(pages, key, text, host)
+    nodes = cut(dom_nodes(pages, key, text, host).where("judged").select("page", "host", "node", "path", "content"), "branches")
     noise = style_tree(nodes).where((F.col("importance") < NOISE_BELOW) & (F.col("of_pages") >= LEAST_PAGES)).select("host", "path", "content")
-    removed = nodes.where(F.col("markup_kind") == OTHER).join(noise, ["host", "path", "content"], "left_semi")
+    removed = nodes.join(noise, ["host", "path", "content"], "left_semi")
     removed = removed.groupBy("page").agg(F.collect_set("node").alias("removed"))  # as many as the page has nodes
     rows = pages.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("page"), F.col(text).alias("text")).join(removed, "page", "left")
 
@@ -342,5 +567,12 @@ def clean_pages(pages: DataFrame, key: str = "id", text: str = "text", host: str
 
 
 def found_kinds(pages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``id, markup_kind``: the kinds of markup in each page, from the nodes that the style tree merges."""
-    return dom_nodes(pages.where(F.col(key).isNotNull()), key, text).select("id", "markup_kind").distinct()
+    """``id, markup_kind``: the kinds of markup in each page, of any importance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k in sorted(kinds(t.replace("\r\n", "\n")))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], names=["id", "markup_kind"])
+
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, markup_kind string").distinct()

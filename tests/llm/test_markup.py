@@ -50,6 +50,22 @@ def test_style_tree_removes_what_stands_on_every_page(spark):
     assert tree["h0", "quote", 40] == 0.0 and tree["h0", "quote", 1] == 1.0
 
 
+def test_marks_that_stand_on_every_page_stay_whole(spark):
+    page = "Page {i} is on [[basin {i}|its basin]] &amp; {{{{convert|{i}|km}}}}, \\emph{{word {i}}}<ref>note {i}\n\nof two parts</ref>.\n\n{{|\n|-\n| cell {i} || yes\n|}}\n\n<div class=\"n{i}\">Please help with this page.</div>\n\nText {i} from [[every page]].\n\nShared [[notice]] of the site.\n\n* every page"
+    df = spark.createDataFrame([(i, page.format(i=i)) for i in range(60)], "id long, text string")
+    want = "Page {i} is on its basin & {i} km, word {i}.\n\ncell {i} | yes\n\nText {i} from every page.\n\n- every page"
+    assert {r.id: r.text for r in markup.clean_pages(df).collect()} == {i: want.format(i=i) for i in range(60)}
+
+
+def test_branches_span_their_marks_and_nest():
+    text = "<div><p>a {{t\n\n|x}}</p>\n\nb [[c]]</div>\n\n{|\n| {{d}}\n|}\n\n> e\n> f\n\n<p>g\n\n&amp;\n\n[[h"
+    got = [(b.path, text[b.start : b.end]) for b in markup.tree(text) if b.judged]
+    assert got == [
+        ("tag/div", text[: text.index("</div>") + 6]), ("tag/div>tag/p", "<p>a {{t\n\n|x}}</p>"), ("tag/div>tag/p>text", "a {{t\n\n|x}}"), ("tag/div>text", "b [[c]]"),
+        ("table", "{|\n| {{d}}\n|}"), ("quote", "> e\n> f"), ("tag/p", "<p>g"), ("tag/p>text", "g"), ("link", "[[h"),
+    ]
+
+
 def test_found(spark):
     df = spark.createDataFrame([(1, "[[a]]", 1), (1, "[[a]]", 1), (2, None, 1), (3, "", 1), (4, "x " * 100_000 + "''i''", 1), (None, "[[a]]", 1), (5, "a\r\n\r\nT\r\n===\r\n", 1)], "id long, text string, markup_kind int")
     assert rows(markup.found_kinds(df)) == [(1, "other"), (4, "other"), (5, "heading")]
