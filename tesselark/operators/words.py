@@ -70,15 +70,16 @@ def union_tables(*tables: DataFrame) -> DataFrame:
 
 def discover_ngrams(pages: DataFrame, tokens: Column, least: int = NGRAM_COUNT, passes: int | None = None) -> DataFrame:
     """``word, count``: words and n-grams that occur at least ``least`` times. Each pass tokenizes with the n-grams known
-    so far and keeps frequent pairs of known tokens of at least 1, 2, 4, 8 ... words; the count of an n-gram is that of
+    so far and keeps frequent pairs of known tokens (n-grams or their prefixes) of at least 1, 2, 4, 8 ... words; the count of an n-gram is that of
     the last pass that made it. Ends when a pass finds nothing new."""
     rows = cut(pages.select(F.explode(F.split("text", "\n")).alias("text")).select(tokens.alias("words")).where("size(words) > 0"), "lines")
     known = cut(at_least(word_counts(rows, F.col("words")), least), "ngrams")
     size, n, done = known.count(), 1, 0
     while passes is None or done < passes:
-        names = [r[0] for r in bounded_collect(prefix_dictionary(known), MAX_DICTIONARY, "the dictionary of n-grams")]
+        dictionary = cut(prefix_dictionary(known), "prefixes")
+        names = [r[0] for r in bounded_collect(dictionary, MAX_DICTIONARY, "the dictionary of n-grams")]
         cut_tokens = nlp.ngram_tokens(names, MAX_DICTIONARY)(F.col("words"))
-        found = at_least(pair_counts(rows, cut_tokens, known, max(2, n)), least)
+        found = at_least(pair_counts(rows, cut_tokens, dictionary, max(2, n)), least)
         known = cut(known.join(found.select("word"), "word", "left_anti").unionByName(found), "ngrams")
         grown, done, n = known.count(), done + 1, n * 2
         if grown == size:

@@ -95,9 +95,15 @@ def ngram_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """One pass, words and pairs: as far as SQL can follow."""
     return words.discover_ngrams(table(spark, d, "documents"), _tokens(), passes=1)
 
 
+def ngram_discovery_all(spark: SparkSession, d: str) -> DataFrame:
+    """N-grams of any length: passes until nothing new is found. SQL has no such loop."""
+    return words.discover_ngrams(table(spark, d, "documents"), _tokens())
+
+
 def frequency_union(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return words.union_tables(*(words.word_counts(docs.where(F.lower("lang") == x), _tokens()) for x in ("de", "fr")))
@@ -396,7 +402,7 @@ def topic_titles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        word_count, word_min_count, normalize_text, normal_words, xml_tag_count, bigram_count, ngram_prefixes, word_ordinality, word_bag, ngram_tokens, ngram_discovery,
+        word_count, word_min_count, normalize_text, normal_words, xml_tag_count, bigram_count, ngram_prefixes, word_ordinality, word_bag, ngram_tokens, ngram_discovery, ngram_discovery_all,
         frequency_union, title_index, view_by_ids, shard_counts, upsert_pages, page_sample, printed_pages, redirect_resolve, regex_links, first_page_links, links_resolved,
         link_lists, clean_text, clean_restricted, wikitext_sections, infobox_filter, page_categories_named, page_categories_joined, renamed_articles, kept_ids, deleted_ids,
         out_degree, in_degree, link_counts, two_hop_topics, class_matrix, pagerank_k, pagerank_converged, pagerank_filtered_k, pagerank_uniform_k, markov_k, pagerank_top,

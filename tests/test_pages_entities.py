@@ -1,10 +1,13 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tesselark.functions import distributions
+from tesselark.functions import distributions, nlp
 from tesselark.operators import categories, classify, entities, pages, words
+from tesselark.plans import registry
 
 from .conftest import rows
 
@@ -131,3 +134,32 @@ def test_word_tables(spark):
     lines = spark.createDataFrame([("new york city\nnew york",)] * 40 + [("york new",)] * 3, "text string")
     got = dict(map(tuple, words.discover_ngrams(lines, F.split("text", " "), 40).collect()))
     assert got["new york"] == 80 and got["new york city"] == 40 and "york new" not in got
+
+
+def _ngrams(lines, least):
+    """Brute force: passes of at least 2, 2, 4, 8 ... words until nothing new is found."""
+    known = {w: n for w, n in Counter(w for x in lines for w in x).items() if n >= least}
+    size, n = -1, 1
+    while size != len(known):
+        size = len(known)
+        dictionary = frozenset(" ".join(w.split(" ")[: k + 1]) for w in known for k in range(w.count(" ") + 1))
+        tokens = [nlp.greedy(x, dictionary) for x in lines]
+        pairs = Counter(f"{a} {b}" for x in tokens for a, b in zip(x, x[1:]) if a in dictionary and b in dictionary)
+        known |= {w: k for w, k in pairs.items() if k >= least and w.count(" ") + 1 >= max(2, n)}
+        n *= 2
+    return known
+
+
+def test_ngrams_of_any_length(spark):
+    rng = random.Random(5)
+    lines = [[w for _ in range(rng.randint(0, 6)) for w in rng.choice(["a b c d", "a b c e", "f g", "h", "a b c d f g h i", "e i"]).split()] for _ in range(200)]
+    want = _ngrams(lines, 5)
+    got = dict(map(tuple, words.discover_ngrams(spark.createDataFrame([(" ".join(x),) for x in lines], "text string"), F.filter(F.split("text", " "), lambda w: w != ""), 5).collect()))
+    assert got == want and max(w.count(" ") for w in want) >= 7
+
+
+def test_ngram_query_goes_on_until_nothing_is_new(spark, tmp_path):
+    lines = [["by", "the", "end", "of", w] for w in ("it", "them") * 20]
+    spark.createDataFrame([(" ".join(x),) for x in lines], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, registry.QUERIES["ngram_discovery_all"](spark, str(tmp_path)).collect()))
+    assert got == _ngrams(lines, words.NGRAM_COUNT) and got["by the end of"] == 40
