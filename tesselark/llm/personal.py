@@ -249,14 +249,16 @@ class Finder:
         return self._with_place(text, begin, m.end()) if m else None
 
     def french(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
-        for m in _FRENCH.finditer(text, max(0, start - 10), min(len(text), end + 40)):
-            if m.start() < start <= m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
+        for at in range(max(0, start - 10), start):
+            m = _FRENCH.match(text, at)
+            if m and m.start() < start <= m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
                 return self._with_place(text, m.start(), m.end())
         return None
 
     def box(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
-        for m in _BOX.finditer(text, max(0, start - 14), min(len(text), end + 14)):
-            if m.start() <= start < m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
+        for at in range(max(0, start - 14), start + 1):
+            m = _BOX.match(text, at)
+            if m and m.start() <= start < m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
                 return self._with_place(text, m.start(), m.end())
         return None
 

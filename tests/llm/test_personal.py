@@ -38,6 +38,12 @@ def test_redaction_keeps_the_rest():
     assert personal.Finder().redact(want)[0] == want
 
 
+def test_finds_end_where_the_number_or_name_ends():
+    street = "12, rue de la " + "Longue" * 9
+    for text in ("Apartado de correos 123456", "Apartado de correos no. 1234", "Post Office Box no. 654321", "Boîte postale no. 123456", street):
+        assert personal.Finder().redact(f"Write to {text}; thanks")[0] == "Write to [ADDRESS]; thanks", text
+
+
 def test_columns(spark):
     long = "word " * 60_000 + "a@b.example" + " word" * 60_000
     df = spark.createDataFrame([(1, "Call 839-555-0117", "x"), (2, None, "x"), (3, "", "x"), (1, "Call 839-555-0117", "x"), (4, long, "x"), (None, "a@b.example", "x")], "doc_id long, text string, kind string")
