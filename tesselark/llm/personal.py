@@ -1,11 +1,12 @@
 """Personal information in free text: found by kind and replaced by typed placeholders.
 
 Anchor expansion: one Aho-Corasick pass over the lower-cased text finds at-signs and their spelt-out forms, schemes, pairs of
-digits around a separator, cues of personal identity numbers, words of streets and post boxes, and given names. A local
-parser for each kind expands its anchor to both sides and validates what it finds; nothing else of the text is looked at.
+digits around a separator, cues of personal identity numbers, words of streets and post boxes, given names, and what shows a name
+with any given name: titles, words of birth, years of life, and ends of family names. A local parser for each kind expands its anchor to both sides and validates what it finds; nothing else of the text is looked at.
 
 Kinds: ``email``, ``phone``, ``id_number`` (only beside a cue that names a personal number: bare numbers name objects),
-``address`` (a street with a house number, or a post box), ``name`` (a given name with a family name in either order).
+``address`` (a street with a house number, or a post box), ``name`` (a given name with a family name in either order; a given name that is in no list needs a title before it, a birth or
+years of life behind it, or a family name with a known end).
 
 Defined results: null and empty texts have nothing; texts are searched whole; where finds overlap, the earlier and then
 the longer one stands; the text around a find is kept as it is; repeated rows and finds give one row per document and
@@ -44,6 +45,23 @@ FAMILY_ENDS = (
     "ander anova ova ovic aro beck dottir eiro field gate holt inski ski ley ling mann more ridge stad ström strom sworth worth wick son sen "
     "berg stein man ez ini elli ić ов ев ин ова ева ина ский ская ой ий ая ко"
 ).split()
+#: Titles before a name of any given name.
+TITLES = "dr. |mr. |mrs. |ms. |prof. |dr |mr |mrs |ms |herr |frau |señor |señora |signor |signora |monsieur |madame |mme |mlle ".split("|")
+#: What follows a name of any given name.
+LIVES = [" (born ", ", born ", " was born ", " (b. ", " née ", *(f" ({c}" for c in "12")]
+#: Capitalised words before a family name that are no given name: openers of sentences, parts of place names, offices, months and days.
+NOT_GIVEN = LANDMARKS | frozenset(
+    "a an the this that these those his her its their our my your he she it they we i you who whose which what when where while why how if as at by in on of to for from with without near "
+    "after before during since until between among over under above below through across around about against along behind beside beyond despite inside outside toward towards upon within and or but nor so yet "
+    "not no all any both each every few many more most much other some such several another first second third last one two three four five six seven eight nine ten then there here now today only even also "
+    "however although though because unless whether once later earlier soon still again never always both either neither today yesterday according north south east west northern southern eastern western upper lower "
+    "central new old great greater little big saint st st. san santa port fort cape mount lake isle loch glen dr mr mrs ms prof professor sir dame lord lady king queen prince princess duke duchess count countess baron "
+    "bishop archbishop pope father mother brother sister captain colonel general major sergeant president minister mayor judge senator doctor herr frau monsieur madame señor señora signor signora mme mlle "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "der die das den dem des ein eine im am und von bei le la les un une et du de el los las una del il lo gli e o os as da do see call write ask contact tel phone email dear hello "
+    "gemeinde stadt dorf kreis bezirk garten ville commune jardin ciudad pueblo comune население город деревня село район улица "
+    "и в на по из от до за при он она они это этот эта его её их как что когда где но или не был была было были для под над".split()
+)
 #: Cues of numbers that identify a person.
 ID_CUES = (
     "ssn|social security|national id|national identity|identity number|identity card|id-nr|id nr|tax identification|tax id|tax number|taxpayer|passport|"
@@ -85,6 +103,11 @@ _PARTICLE = r"(?:(?:von der|von|van der|van den|van|de la|de los|del|della|di|da
 _WORD = r"[A-ZÀ-ÞА-ЯЁ][\w’']+(?:-[A-ZÀ-ÞА-ЯЁ][\w’']+)*"
 _INITIALS = r"(?:[A-ZА-Я]\.[  ]?){0,2}"
 _FORWARD = re.compile(r"[   \n]" + _INITIALS + "(" + _PARTICLE + r"?" + _WORD + ")", 0)
+_TITLED = re.compile("(" + _WORD + ")[   ]" + _INITIALS + "(" + _PARTICLE + r"?" + _WORD + r")(?![\w’'-])")
+_BEFORE_LIFE = re.compile(r"(?<![\w’'.-])(" + _WORD + ")[   ]" + _INITIALS + "(" + _PARTICLE + r"?" + _WORD + ")$")
+_BEFORE_FAMILY = re.compile(r"(?<![\w’'.@-])(" + _WORD + ")[   ]" + _INITIALS + _PARTICLE + r"?(?:" + _WORD + r"-)?$")
+_COMMA_GIVEN = re.compile(r",[  \n](" + _WORD + r")(?![\w’'@-])(?:[  ][A-ZА-Я]\.)?")
+_BORN = re.compile(r"(?: \(born |, born | was born | \(b\. | née | \((?:c\. ?)?\d{3,4} ?[–-] ?(?:\d{3,4})?\))")
 _BACKWARD = re.compile(r"((?:" + _PARTICLE + r")?" + _WORD + r"),[  \n]$")
 
 
@@ -112,6 +135,13 @@ def _automaton(given: frozenset[str]) -> ahocorasick.Automaton:
         anchors.setdefault(word, set()).add("box")
     for word in ("calle ", "avenida ", "plaza ", "rua ", "viale ", "via ", "ул.", "улица "):
         anchors.setdefault(word, set()).add("spanish")
+    for word in TITLES:
+        if word:
+            anchors.setdefault(word, set()).add("title")
+    for word in LIVES:
+        anchors.setdefault(word, set()).add("life")
+    for word in FAMILY_ENDS:
+        anchors.setdefault(word, set()).add("family")
     for name in given:
         anchors.setdefault(name, set()).add(NAME)
     for word, kinds in anchors.items():
@@ -131,7 +161,7 @@ class Finder:
 
     def __init__(self, given: frozenset[str] = frozenset(GIVEN_NAMES)):
         self.given, self.anchors = given, _automaton(given)
-        self.parsers = {EMAIL: self.email, PHONE: self.phone, ID_NUMBER: self.id_number, "street": self.street, "german": self.german, "french": self.french, "box": self.box, "spanish": self.spanish, NAME: self.name}
+        self.parsers = {EMAIL: self.email, PHONE: self.phone, ID_NUMBER: self.id_number, "street": self.street, "german": self.german, "french": self.french, "box": self.box, "spanish": self.spanish, NAME: self.name, "title": self.title, "life": self.life, "family": self.family}
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Start, end and kind of each find, in order, without overlaps."""
@@ -296,6 +326,43 @@ class Finder:
             return b.start(1), initial.end(), NAME
         return None
 
+    def _person(self, text: str, given: str, family: str, end: int) -> bool:
+        """Whether two capitalised words can name a person by what they are."""
+        last = re.split(r"[\s-]", family)[-1].lower()
+        behind = re.compile(r"[  ](\w+)").match(text, end)
+        return given.lower() not in NOT_GIVEN and last not in NOT_GIVEN and not (behind and behind[1].lower() in LANDMARKS)
+
+    def title(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
+        if start and (text[start - 1].isalnum() or text[start - 1] in "-_'’") or not text[start].isupper():
+            return None
+        m = _TITLED.match(text, end)
+        return (end, m.end(), NAME) if m and self._person(text, m[1], m[2], m.end()) else None
+
+    def life(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
+        if not start or not text[start - 1].isalnum() or not _BORN.match(text, start):
+            return None
+        m = _BEFORE_LIFE.search(text, max(0, start - 90), start)
+        return (m.start(), start, NAME) if m and self._person(text, m[1], m[2], start) else None
+
+    def family(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
+        if end < len(text) and (text[end].isalnum() or text[end] in "-_@"):
+            return None
+        begin = start
+        while begin and (text[begin - 1].isalpha()):
+            begin -= 1
+        word = text[begin:end]
+        if end - begin < 5 or not word[0].isupper() or not (word[1:].islower() or word.isupper()):
+            return None
+        m = _BEFORE_FAMILY.search(text, max(0, begin - 90), begin)
+        if m and self._person(text, m[1], word, end):
+            return m.start(), end, NAME
+        # 'Family, Given': places stand so too, so that it takes an initial, a line of its own, or a bracket, semicolon or colon around it
+        m = _COMMA_GIVEN.match(text, end)
+        if not m or not self._person(text, m[1], word, m.end()):
+            return None
+        edge = (begin == 0 or text[begin - 1] in "\n(;" or text[max(0, begin - 2) : begin] in ("; ", ": ", "* ", "- ")) and (m.end() == len(text) or text[m.end()] in "\n);:")
+        return (begin, m.end(), NAME) if edge or m[0].endswith(".") else None
+
     def redact(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with placeholders such as ``[EMAIL]``, and how many finds there are of each kind."""
         out, at, count = [], 0, dict.fromkeys(KINDS, 0)
