@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -52,26 +54,84 @@ def prefixes(phrase: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), " "))
 
 
-def greedy(words: list[str], known: frozenset[str]) -> list[str]:
-    """Tokens that grow word by word as long as they are known."""
-    out, at = [], 0
-    while at < len(words):
-        token, at = words[at], at + 1
-        while at < len(words) and f"{token} {words[at]}" in known:
-            token, at = f"{token} {words[at]}", at + 1
-        out.append(token)
-    return out
-
-
-def ngram_tokens(dictionary: list[str], bound: int = 5_000_000) -> Callable[[Column], Column]:
+class PhraseTree:
+    """A dictionary of n-grams as a tree of word numbers: hashed pairs of a node and the next word lead to a node. Tokens of
+    all texts of a batch grow together, one word a round, so that rounds are as many as the longest n-gram has words."""
+
+    def __init__(self, phrases: Iterable[str]):
+        chains = [p.split(" ") for p in phrases]
+        self.words = pa.array(sorted({w for c in chains for w in c}), pa.string())
+        number = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.width = max(1, len(number))
+        nodes: dict[int, int] = {}  # node * width + word -> node; the nodes of single words come first
+        whole: dict[int, bool] = {i: True for i in range(self.width)}
+        for c in sorted(chains, key=len):
+            at = number[c[0]]
+            for w in c[1:]:
+                at = nodes.setdefault(at * self.width + number[w], self.width + len(nodes))
+                whole.setdefault(at, False)
+            whole[at] = True
+        # a token only grows by known phrases, so that what lies behind an unknown one is out of reach
+        live = {k: v for k, v in nodes.items() if whole[v]}
+        self.keys = np.array(sorted(live), np.int64)
+        self.next = np.array([live[k] for k in self.keys.tolist()], np.int64)
+
+    def step(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The node behind each node by a word (-1: none)."""
+        if not len(self.keys):
+            return np.full(len(node), -1)
+        key = node * self.width + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((word >= 0) & (self.keys[at] == key), self.next[at], -1)
+
+    def tokens(self, words: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Tokens of texts given as words one after another with the offsets of the texts: the same of the tokens."""
+        n = len(words)
+        number = pc.index_in(words, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) if len(self.words) else np.full(n, -1)
+        end_of = np.repeat(offsets[1:], np.diff(offsets))  # where the text of each word ends
+        length, live, node = np.ones(n, np.int64), np.flatnonzero(number >= 0), number[number >= 0]
+        while len(live):  # how many words a token that starts at each place has
+            behind = live + length[live]
+            inside = behind < end_of[live]
+            live, node, behind = live[inside], node[inside], behind[inside]
+            node = self.step(node, number[behind])
+            live, node = live[node >= 0], node[node >= 0]
+            length[live] += 1
+        # tokens start at text starts and behind tokens: places are reached by doubling jumps from all text starts
+        target = np.append(np.minimum(np.arange(n) + length, end_of), n)
+        reached = np.zeros(n + 1, bool)
+        reached[offsets[:-1][np.diff(offsets) > 0]] = True
+        # a jump that ends a text lands on the start of the next one, which is reached anyway
+        while True:
+            new = np.zeros(n + 1, bool)
+            new[target[np.flatnonzero(reached)]] = True
+            new |= reached
+            if (new == reached).all():
+                break
+            reached, target = new, target[target]
+        start = np.flatnonzero(reached[:n])
+        if (length[start] == 1).all():
+            out = words
+        else:
+            size = length[start]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, n).astype(np.int32)), words)
+            out = pc.binary_join(lists, " ") if (size > 0).all() else lists
+        return out, np.searchsorted(start, offsets)
+
+
+def ngram_tokens(spark: SparkSession, dictionary: list[str], bound: int = 5_000_000) -> Callable[[Column], Column]:
     """A tokenizer that joins adjacent words to the longest n-gram whose prefixes are all known. It takes an array of
-    words; the dictionary goes to every worker, so its size is bounded."""
+    words; the dictionary is broadcast to every worker and built into a tree once per worker, so its size is bounded."""
     if len(dictionary) > bound:
         raise ValueError(f"a dictionary of more than {bound} n-grams is too large for the workers")
-    known = frozenset(dictionary)
+    shared = spark.sparkContext.broadcast(PhraseTree(dictionary))
 
     @arrow_udf(ArrayType(StringType()))
     def tokens(words: pa.Array) -> pa.Array:
-        return pa.array([None if w is None else greedy(w, known) for w in words.to_pylist()], pa.list_(pa.string()))
+        lists = words.fill_null([]) if words.null_count else words
+        flat, sizes = lists.flatten(), np.asarray(lists.value_lengths())
+        got, offsets = shared.value.tokens(flat, np.append(0, np.cumsum(sizes)))
+        out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), got, mask=words.is_null() if words.null_count else None)
+        return out
 
     return tokens

@@ -24,12 +24,13 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 IGNORED_SECTIONS = frozenset(["Articles", "External links", "Further reading", "Notes", "Online biographies", "References", "See also", "Sources"])
 #: HTML, parser and extension tags allowed in wiki markup.
 ALLOWED_TAGS = (
-    "h1 h2 h3 h4 h5 h6 p abbr b bdi bdo blockquote cite code data del dfn em i ins kbd mark pre q rp rt ruby s samp small strong sub sup time u var wbr "
-    "dl dt dd ol ul li div span table td tr th caption thead tfoot tbody gallery includeonly noinclude onlyinclude "
-    "categorytree charinsert chem ce graph hiero imagemap indicator inputbox mapframe maplink math|math chem|poem ref references score section "
-    "syntaxhighlight source templatedata templatestyles timeline"
-).replace("math|math chem|poem", "math math_chem poem")
-_TAG_NAMES = "|".join(t.replace("_", " ") for t in ALLOWED_TAGS.split())
+    "h1", "h2", "h3", "h4", "h5", "h6", "p", "abbr", "b", "bdi", "bdo", "blockquote", "cite", "code", "data", "del", "dfn", "em", "i", "ins", "kbd",
+    "mark", "pre", "q", "rp", "rt", "ruby", "s", "samp", "small", "strong", "sub", "sup", "time", "u", "var", "wbr", "dl", "dt", "dd", "ol", "ul", "li",
+    "div", "span", "table", "td", "tr", "th", "caption", "thead", "tfoot", "tbody", "gallery", "includeonly", "noinclude", "onlyinclude",
+    "categorytree", "charinsert", "chem", "ce", "graph", "hiero", "imagemap", "indicator", "inputbox", "mapframe", "maplink", "math", "math chem", "poem",
+    "ref", "references", "score", "section", "syntaxhighlight", "source", "templatedata", "templatestyles", "timeline",
+)
+_TAG_NAMES = "|".join(ALLOWED_TAGS)
 MATH_TOKEN = "_math_"
 
 
@@ -47,7 +48,7 @@ def _raw(text: str) -> Piece:
     return Piece("raw", text)
 
 
-#: In this order; each entry: pattern, and what a match becomes.
+#: The marks of wiki markup, in the order in which they take effect; each entry: pattern, and what a match becomes.
 _CUTS: list[tuple[re.Pattern[str], Callable[[str], Piece]]] = [
     (re.compile(r"<nowiki ?/>"), lambda s: Piece("hidden", "")),
     (re.compile(r"^={2,6}", re.M), lambda s: Piece("open", s, "header", len(s))),

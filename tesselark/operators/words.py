@@ -78,7 +78,7 @@ def discover_ngrams(pages: DataFrame, tokens: Column, least: int = NGRAM_COUNT,
     while passes is None or done < passes:
         dictionary = cut(prefix_dictionary(known), "prefixes")
         names = [r[0] for r in bounded_collect(dictionary, MAX_DICTIONARY, "the dictionary of n-grams")]
-        cut_tokens = nlp.ngram_tokens(names, MAX_DICTIONARY)(F.col("words"))
+        cut_tokens = nlp.ngram_tokens(pages.sparkSession, names, MAX_DICTIONARY)(F.col("words"))
         found = at_least(pair_counts(rows, cut_tokens, dictionary, max(2, n)), least)
         known = cut(known.join(found.select("word"), "word", "left_anti").unionByName(found), "ngrams")
         grown, done, n = known.count(), done + 1, n * 2

@@ -90,7 +90,7 @@ def word_bag(spark: SparkSession, d: str) -> DataFrame:
 def ngram_tokens(spark: SparkSession, d: str) -> DataFrame:
     frequent = words.prefix_dictionary(words.at_least(words.pair_counts(table(spark, d, "documents"), _tokens()), 100))
     known = [r[0] for r in bounded_collect(frequent, words.MAX_DICTIONARY, "the dictionary of n-grams")]
-    rows = table(spark, d, "documents").select("doc_id", nlp.ngram_tokens(known)(_tokens()).alias("tokens"))
+    rows = table(spark, d, "documents").select("doc_id", nlp.ngram_tokens(spark, known)(_tokens()).alias("tokens"))
     return rows.select("doc_id", F.size("tokens").alias("tokens"), F.size(F.filter("tokens", lambda t: t.contains(" "))).alias("ngrams"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesselark.schemas import DUMP_PAGE, RAW_ENTITY
 
+#: Names of published dump files.
 _ARTICLES = re.compile(r"wiki-(\d+)-pages-articles-multistream(\d*)\.xml(?:-p(\d+)p(\d+))?(?:\.bz2)?$")
 _INDEX = re.compile(r"wiki-(\d+)-pages-articles-multistream-index(\d*)\.txt(?:-p(\d+)p(\d+))?(?:\.bz2)?$")
 _ENTITIES = re.compile(r"-(\d{8})-all\.json(?:\.bz2|\.gz)?$")
