@@ -1,10 +1,12 @@
 """Attribute-value rows to wide tables.
 
-Rows are cut by attribute into typed narrow tables (one per attribute, at most one row per entity), which are written
-once, bucketed by entity, and combined by balanced multiway outer joins: attributes are joined in groups of about the
-square root of their number, then the groups are joined. Every narrow table has the same buckets, so no join moves a row.
-Outer joins run against the spine of entities that occur in the group: this equals a full outer join of the narrow
-tables, but keeps the hash partitioning, which Spark loses across a full outer join.
+Rows are cut by attribute into typed narrow tables, at most one row per entity and attribute: the winning value in a column
+of its own type, and the statement it comes from. They are written once, side by side in one set of files: bucketed by
+entity, and sorted by attribute within each bucket, so that a narrow table is a range of pages of each file that the scan
+finds by their statistics. They are combined by balanced multiway outer joins: attributes in groups of about the square
+root of their number, each group written in the same buckets, then the groups. No join moves a row, and a task holds
+the hash tables of one group only. Outer joins run against the spine of entities that occur in the group: this equals a
+full outer join of the narrow tables, but keeps the hash partitioning, which Spark loses across a full outer join.
 
 Defined results: rows without entity (null or 0), attributes that are not listed, deprecated statements and values that
 cannot be read give no cell; a null or blank rank is normal; a statement delivered again counts as its latest delivery
@@ -17,19 +19,21 @@ crosses the last shuffle with at most one row per attribute.
 from __future__ import annotations
 
 import math
-import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.runtime import bounded_collect, scratch_path, shuffle_partitions
+from tesselark.runtime import bounded_collect, bucketed, shuffle_partitions
 
-#: Spark type of each datatype; a datatype that is not listed is kept as text.
-TYPES = {"item": "string", "date": "date", "quantity": "double", "text": "string"}
+#: The typed column that holds the values of each datatype; a datatype that is not listed is kept as text.
+COLUMN_OF = {"item": "text", "date": "day", "quantity": "number", "text": "text"}
+#: Groups that are joined at the same time.
+AT_ONCE = 4
 #: English month names.
 MONTHS = "January February March April May June July August September October November December".split()
-#: An attribute is a column of the result, so their number must be bounded.
+#: An attribute is a column of the result, so their number must be bounded. Beyond it a wide table has no meaning for Spark.
 MAX_ATTRIBUTES = 2000
 
 
@@ -93,12 +97,17 @@ READERS = {"item": read_item, "date": read_date, "quantity": read_quantity, "tex
 
 
 def listed_attributes(properties: DataFrame) -> list[Attribute]:
+    """The attributes in order, each once: codes that are the same in one spelling are one attribute, with the first
+    spelling and datatype in order; a missing datatype is text and comes last."""
     rows = bounded_collect(properties.select("property", "datatype").where("property is not null").distinct(), MAX_ATTRIBUTES, "the list of attributes")
-    return [Attribute(r[0], (r[1] or "text").strip().lower()) for r in sorted(rows)]
+    out: dict[str, Attribute] = {}
+    for name, datatype in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or "")):
+        out.setdefault(name.strip().upper(), Attribute(name, (datatype or "text").strip().lower()))
+    return list(out.values())
 
 
 def cells(claims: DataFrame, attributes: list[Attribute]) -> DataFrame:
-    """``id, property, value, claim_id``: the winning statement of each cell, its value in canonical text."""
+    """``id, slot, claim_id, text, day, number``: the winning statement of each cell, its value in the column of its type."""
     codes = claims.sparkSession.createDataFrame([(a.name, i) for i, a in enumerate(attributes)] or [("", -1)], "name string, slot int")
     codes = codes.select(attribute_code(F.col("name")).alias("code"), "slot")
     rank = rank_code(F.col("claim_rank"))
@@ -114,50 +123,48 @@ def cells(claims: DataFrame, attributes: list[Attribute]) -> DataFrame:
     kept = latest.unionByName(nameless).select("claim_id", "row.*").where("id <> 0 and rank >= 0 and slot is not null")
     by_type: dict[str, list[int]] = {}
     for i, a in enumerate(attributes):
-        by_type.setdefault(a.datatype, []).append(i)
-    read = F.lit(None).cast("string")
+        by_type.setdefault(a.datatype if a.datatype in READERS else "text", []).append(i)
+    typed = {"text": F.lit(None).cast("string"), "day": F.lit(None).cast("date"), "number": F.lit(None).cast("double")}
     for datatype, slots in by_type.items():
-        read = F.when(F.col("slot").isin(slots), READERS.get(datatype, read_text)(F.col("value")).cast("string")).otherwise(read)
-    kept = kept.withColumn("value", read).where("value is not null")
-    best = kept.groupBy("id", "slot").agg(F.max(F.struct("rank", "at", "claim_id", "value")).alias("best"))
-    return best.select("id", "slot", "best.value", "best.claim_id")
+        column = COLUMN_OF[datatype]
+        typed[column] = F.when(F.col("slot").isin(slots), READERS[datatype](F.col("value"))).otherwise(typed[column])
+    kept = kept.select("id", "slot", "rank", "at", "claim_id", *(c.alias(name) for name, c in typed.items())).where("text is not null or day is not null or number is not null")
+    best = kept.groupBy("id", "slot").agg(F.max(F.struct("rank", "at", "claim_id", "text", "day", "number")).alias("best"))
+    return best.select("id", "slot", *(F.col("best")[x].alias(x) for x in ("claim_id", "text", "day", "number")))
 
 
 class NarrowTables:
     """The typed narrow tables of a claims table, written once to the shared folder and bucketed by entity."""
 
     def __init__(self, claims: DataFrame, properties: DataFrame, buckets: int | None = None):
-        self.spark = claims.sparkSession
         self.attributes = listed_attributes(properties)
-        self.buckets = buckets or shuffle_partitions(self.spark)
-        self.name = f"narrow_{uuid.uuid4().hex}"
-        df = cells(claims, self.attributes).repartition(self.buckets, "id")
-        df.write.format("parquet").partitionBy("slot").bucketBy(self.buckets, "id").sortBy("id").option("path", scratch_path(self.spark, "narrow")).saveAsTable(self.name)
-
-    def _rows(self, slots: range | list[int]) -> DataFrame:
-        return self.spark.table(self.name).where(F.col("slot").isin(list(slots)))
+        self.buckets = buckets or shuffle_partitions(claims.sparkSession)
+        self.rows = bucketed(cells(claims, self.attributes), "id", self.buckets, ("slot", "id"), "narrow")
 
     def narrow(self, slot: int) -> DataFrame:
-        """One attribute: ``id``, its typed value under its name, and the statement that fills it, as a struct that is
-        there if the cell is, even where the statement has no id."""
+        """One attribute: ``id``, its typed value under its name, and the statement that fills it."""
         a = self.attributes[slot]
-        value = F.col("value").cast(TYPES.get(a.datatype, "string"))
-        return self._rows([slot]).select("id", value.alias(a.name), F.struct("claim_id").alias(a.claim_column))
+        value = F.col(COLUMN_OF.get(a.datatype, "text"))
+        return self.rows.where(F.col("slot") == slot).select("id", value.alias(a.name), F.col("claim_id").alias(a.claim_column))
+
+    def _group(self, slots: range) -> DataFrame:
+        """The attributes of a group side by side, one row per entity that has any of them."""
+        out = self.rows.where(F.col("slot").between(slots.start, slots.stop - 1)).select("id").distinct()
+        for slot in slots:
+            out = out.join(self.narrow(slot).hint("shuffle_hash"), "id", "left")
+        return out
 
     def wide(self) -> DataFrame:
         """One row per entity that has a cell: ``id``, then for each attribute its value and the filling statement."""
-        columns = [c for a in self.attributes for c in (F.col(a.name), F.col(a.claim_column)["claim_id"].alias(a.claim_column))]
-        return self.joined().select("id", *columns)
-
-    def joined(self) -> DataFrame:
         n = len(self.attributes)
         fan = max(1, math.ceil(math.sqrt(n)))
-        out = self._rows(range(n)).select("id").distinct()
-        for start in range(0, n, fan):
-            slots = range(start, min(n, start + fan))
-            group = self._rows(slots).select("id").distinct()
-            for slot in slots:
-                group = group.join(self.narrow(slot).hint("shuffle_hash"), "id", "left")
+        groups = [range(start, min(n, start + fan)) for start in range(0, n, fan)]
+        out = self.rows.select("id").distinct()
+        if len(groups) == 1:
+            return self._group(groups[0])
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            written = list(pool.map(lambda slots: bucketed(self._group(slots), "id", self.buckets, label="group"), groups))
+        for group in written:
             out = out.join(group.hint("shuffle_hash"), "id", "left")
         return out
 
@@ -167,10 +174,9 @@ def wide_table(claims: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def filled_cells(claims: DataFrame, properties: DataFrame) -> DataFrame:
-    """``id, property, claim_id``: the filled cells of the wide table."""
+    """``id, property, claim_id``: the filled cells of the wide table, those whose typed value is there."""
     tables = NarrowTables(claims, properties)
     if not tables.attributes:
         return claims.sparkSession.createDataFrame([], "id long, property string, claim_id long")
-    pairs = F.array(*(F.when(F.col(a.claim_column).isNotNull(), F.struct(F.lit(a.name).alias("property"), F.col(a.claim_column)["claim_id"].alias("claim_id"))) for a in tables.attributes))
-    # values are not asked for, so that no narrow table reads them
-    return tables.joined().select("id", F.inline(F.array_compact(pairs)))
+    pairs = F.array(*(F.when(F.col(a.name).isNotNull(), F.struct(F.lit(a.name).alias("property"), F.col(a.claim_column).alias("claim_id"))) for a in tables.attributes))
+    return tables.wide().select("id", F.inline(F.array_compact(pairs)))

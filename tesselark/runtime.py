@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+#: Scratch tables of this process, each with the session that made it.
+_scratch: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +33,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the process ends (or by :func:`free`)."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def free(*paths: str) -> None:
+    """Remove scratch tables that nothing reads any more. What cannot be removed is left to whoever owns the folder."""
+    for path in paths:
+        spark = _scratch.pop(path, None)
+        scheme, _, rest = path.rpartition("://") if "://" in path else ("", "", path.removeprefix("file:"))
+        if scheme in ("", "file"):
+            shutil.rmtree(rest, ignore_errors=True)
+        elif spark is not None:
+            try:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # the session may be gone
+                continue
+
+
+@atexit.register
+def _free_all() -> None:
+    free(*list(_scratch))
+    for folder in _local_folders.values():
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -42,6 +71,35 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, sort: tuple[str, ...] = (), label: str = "buckets") -> DataFrame:
+    """Like :func:`cut`, with the rows in ``buckets`` by ``key``, one sorted file each: joins and aggregates on the key then
+    move no row. The catalog knows the table only until its plan is made."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*(sort or (key,))).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018 - the plan is made here
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return out
+
+
+class Latest:
+    """The newest version of a table that a loop replaces: the version before is removed once the next is written."""
+
+    def __init__(self, first: DataFrame, label: str = "latest"):
+        self.spark, self.label, self.path = first.sparkSession, label, ""
+        self.replace(first)
+
+    def replace(self, rows: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.label)
+        rows.write.parquet(path)
+        if self.path:
+            free(self.path)
+        self.path = path
+        self.df = self.spark.read.schema(rows.schema).parquet(path)
+        return self.df
+
+
 class Rounds:
     """A table that a loop adds to: each round's rows are written once, beside those of the rounds before."""
 
@@ -76,6 +134,15 @@ def bounded_collect(df: DataFrame, bound: int, what: str) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, bound: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``bound`` rows, else leave the join to Catalyst. Counts ``df`` once."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+#: Bytes of rows that may be broadcast: what Spark's own statistics of the optimised plan say, not a count of rows.
+BROADCAST_BYTES = 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The size of ``df`` by the statistics of its optimised plan; without statistics this is huge. No job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its plan proves it to be small, else leave the join to Catalyst, which shuffles both sides."""
+    return F.broadcast(df) if plan_bytes(df) <= bound else df

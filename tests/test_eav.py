@@ -91,3 +91,23 @@ def test_one_entity_with_most_rows(spark):
     got = dict((r[0], r[2]) for r in cells(spark, data))
     best = max((r for r in data if r[1] == 7), key=lambda r: (r[5], r[0]))
     assert got[7] == best[0] and len(got) == 1 + sum(1 for r in data if r[1] != 7)
+
+
+def test_codes_in_two_spellings_are_one_attribute(spark):
+    twice = spark.createDataFrame([("P31", "item"), ("p31", None), ("P5", None), ("P5", "quantity"), (None, "item")], "property string, datatype string")
+    assert [(a.name, a.datatype) for a in eav.listed_attributes(twice)] == [("P31", "item"), ("P5", "quantity")]
+
+
+def test_groups_side_by_side(spark):
+    """More attributes than one group holds, some without a statement; each column has the type of its attribute."""
+    kinds = ["item", "date", "quantity", "text", "other"]
+    listed = spark.createDataFrame([(f"P{i}", kinds[i % 5]) for i in range(1, 24)], "property string, datatype string")
+    value = {"item": "Q5", "date": "2001-02-03", "quantity": "7", "text": "x", "other": "y"}
+    data = [(100 * e + i, e, f"P{i}", value[kinds[i % 5]], None, at(1)) for e in range(1, 6) for i in range(1, 24) if (e + i) % 3]
+    wide = eav.wide_table(claims(spark, data), listed)
+    assert {f.name: f.dataType.simpleString() for f in wide.schema if f.name in ("P1", "P2", "P3", "P4", "P5")} == {"P1": "date", "P2": "double", "P3": "string", "P4": "string", "P5": "string"}
+    got = {(r.id, i): (r[f"P{i}"], r[f"P{i}__claim_id"]) for r in wide.collect() for i in range(1, 24)}
+    typed = {"Q5": "Q5", "2001-02-03": dt.date(2001, 2, 3), "7": 7.0, "x": "x", "y": "y"}
+    want = {(r[1], int(r[2][1:])): (typed[r[3]], r[0]) for r in data}
+    assert {k: v for k, v in got.items() if v != (None, None)} == want
+    assert rows(eav.filled_cells(claims(spark, data), listed)) == sorted([(e, f"P{i}", c) for (e, i), (_, c) in want.items()], key=repr)
