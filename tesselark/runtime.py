@@ -83,6 +83,15 @@ def bucketed(df: DataFrame, key: str, buckets: int, sort: tuple[str, ...] = (),
     return out
 
 
+def sibling(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of the same application with its own settings: those of ``spark``, and ``settings`` (with ``__`` for dots)."""
+    other = spark.newSession()
+    for key, value in {**spark.conf.getAll, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
+        if spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 class Latest:
     """The newest version of a table that a loop replaces: the version before is removed once the next is written."""
 

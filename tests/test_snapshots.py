@@ -37,6 +37,27 @@ def test_hot_key_and_typed_changes(spark):
     assert len(found(spark, data)) == 4
 
 
-def test_no_shuffle_beyond_the_range_partitioning(spark):
-    plan = snapshots.page_changes(table(spark, [("1", 1, "A", 1)]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
+def test_the_merge_moves_no_row(spark):
+    plan = snapshots.page_changes(table(spark, [("1", 1, "A", 1), ("2", 1, "B", 1)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "FullOuter" in plan and "Exchange" not in plan
+
+
+def test_later_snapshots_are_kept_in_the_same_ranges(spark):
+    first = [("1", i, f"t{i}", 1) for i in range(1, 400)] + [("2", i, f"t{i}", 1) for i in range(100, 500)]
+    later = [("3", i, f"t{i}" if i % 10 else "x", 1) for i in range(50, 900)]
+    kept = snapshots.KeptSnapshots(spark, "corpus", "id", ["title"], "loaded_at", ranges=3)
+    kept.add(table(spark, first))
+    kept.add(table(spark, []))
+    kept.add(table(spark, later))
+    got = rows(kept.changes().select("corpus", "id", "change_kind"))
+    old, new = {r[1]: r[2] for r in first if r[0] == "2"}, {r[1]: r[2] for r in later}
+    want = [("2", i, "removed") for i in range(1, 100)] + [("2", i, "added") for i in range(400, 500)]
+    want += [("3", i, "added" if i not in old else "changed") for i in new if i not in old or old[i] != new[i]]
+    assert got == sorted(want, key=repr)
+    plan = kept.changes()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_labels_have_a_bucket_each(spark):
+    labels = snapshots.range_labels(spark, 13)
+    assert len(set(labels)) == 13
