@@ -40,27 +40,31 @@ def p5_sitelinks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line_no", "child_key", *(F.col("fields")[x].alias(x) for x in ("site", "title", "url")))
 
 
-def _trees(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    return {"category": hierarchy.category_links(table(spark, d, "page_categories")), "redirect": hierarchy.redirect_links(table(spark, d, "redirects"))}
+def _forest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return hierarchy.forest(hierarchy.category_links(table(spark, d, "page_categories")), hierarchy.redirect_links(table(spark, d, "redirects")))
 
 
-def _both(spark: SparkSession, d: str, operator) -> DataFrame:
-    parts = [operator(*x).select(F.lit(tree).alias("tree"), "*") for tree, x in _trees(spark, d).items()]
-    return parts[0].unionByName(parts[1])
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of the forest with the name of their tree and plain names of nodes."""
+    tree = hierarchy.tree_of(F.col("node"))[0]
+    plain = {c: F.when(F.col(c) == "cycle", F.lit("cycle")).otherwise(hierarchy.tree_of(F.col(c))[1]) if c == "root" else hierarchy.tree_of(F.col(c))[1] for c in columns}
+    return rows.select(F.when(tree == 0, "category").otherwise("redirect").alias("tree"), *(plain.get(c, F.col(c)).alias(c) for c in rows.columns))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d, hierarchy.roots)
+    return _named(hierarchy.roots(*_forest(spark, d)), "node", "root")
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     """A shortest full path to each root."""
-    return _both(spark, d, hierarchy.paths).withColumn("path", F.array_join("path", " < "))
+    rows = hierarchy.paths(*_forest(spark, d))
+    path = F.array_join(F.transform("path", lambda n: hierarchy.tree_of(n)[1]), " < ")
+    return _named(rows.withColumn("path", path), "node", "root")
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of each node."""
-    return _both(spark, d, hierarchy.descendants)
+    return _named(hierarchy.descendants(*_forest(spark, d)), "node", "descendant")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +183,25 @@ SQL = {
     "p6_found": _TREES
     + """SELECT tree, node, up AS root, cast(min(steps) AS int) AS steps FROM far f WHERE NOT EXISTS (FROM links l WHERE l.tree = f.tree AND l.child = f.up) GROUP BY ALL
       UNION ALL SELECT tree, node, 'cycle', -1 FROM circle""",
-    "p6_descendants": _TREES + "SELECT tree, up AS node, node AS descendant, cast(min(steps) AS int) AS steps FROM far WHERE steps > 0 GROUP BY ALL",
+    # of several shortest paths the one with the smallest next node at each step; names compare by their bytes
+    "p6_paths": _TREES
+    + """, way AS (
+        SELECT tree, node, up AS root, cast(min(steps) AS int) AS steps FROM far f WHERE NOT EXISTS (FROM links l WHERE l.tree = f.tree AND l.child = f.up) GROUP BY ALL
+      ), hop AS (
+        SELECT w.tree, w.node, w.root, w.steps, min(l.parent) AS up FROM way w JOIN links l ON l.tree = w.tree AND l.child = w.node
+          JOIN way a ON a.tree = w.tree AND a.node = l.parent AND a.root = w.root AND a.steps = w.steps - 1 GROUP BY ALL
+      ), path AS (
+        SELECT tree, node, root, steps, node AS cur, node AS path FROM way
+        UNION ALL SELECT p.tree, p.node, p.root, p.steps, h.up, p.path || ' < ' || h.up FROM path p JOIN hop h ON h.tree = p.tree AND h.node = p.cur AND h.root = p.root
+      )
+      SELECT tree, node, root, steps, path FROM path WHERE cur = root UNION ALL SELECT tree, node, 'cycle', -1, NULL FROM circle""",
+    # descendants below a node that no circle is above of; what is below may be in circles, whose turns end at 150 links
+    "p6_descendants": _TREES
+    + """, down AS (
+        SELECT tree, parent AS top, child AS node, 1 AS steps FROM links l WHERE NOT EXISTS (FROM circle c WHERE c.tree = l.tree AND c.node = l.parent)
+        UNION SELECT d.tree, d.top, l.child, d.steps + 1 FROM down d JOIN links l ON l.tree = d.tree AND l.parent = d.node WHERE d.steps < 150
+      )
+      SELECT tree, top AS node, node AS descendant, cast(min(steps) AS int) AS steps FROM down WHERE top <> node GROUP BY ALL""",
     "p7_found": _CHANGES + "SELECT corpus, id, change_kind FROM both_sides WHERE change_kind IS NOT NULL",
     "p7_changes": _CHANGES + "SELECT corpus, id, change_kind, title_before, title_after FROM both_sides WHERE change_kind IS NOT NULL",
 }
