@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from tesselark.llm import subjects
 
 from ..conftest import rows
@@ -44,6 +47,27 @@ def test_held_out_accuracy(spark):
     assert abs(sum(r.share for r in parts) - 1) < 1e-9 and sum(r.pages for r in parts) == len(found)
 
 
+def test_whole_counts_and_words_beyond_the_dimensions(spark, monkeypatch):
+    """Counts are not cut, and words that share a dimension count together."""
+    monkeypatch.setattr(subjects, "DIMENSIONS", 4)
+    pages = spark.createDataFrame([(1, [60, 61, 64], [1000, 1, 7]), (2, [61], [2]), (3, [], [])], "id long, words array<long>, counts array<long>")
+    got = {r.id: r.features.toArray() for r in subjects.vectors_of(pages, [60, 61, 62, 63, 64]).collect()}
+    idf = [math.log(3 / 3), math.log(3 / 3), math.log(3 / 1), math.log(3 / 1)]
+    raw = [(1000 + 7) * math.log(3 / (1 + 1 + 1)), 1 * math.log(3 / 3), 0, 0]
+    assert set(got) == {1, 2} and len(got[1]) == 4
+    assert abs(np.linalg.norm(got[1]) - (1 if any(raw) else 0)) < 1e-9 and idf[0] == 0
+
+
+def test_mixtures_of_pages():
+    """Two components, a page of each and one of both."""
+    said = np.array([[0.45, 0.05], [0.45, 0.05], [0.05, 0.45], [0.05, 0.45]], np.float32)
+    words = np.array([0, 1, 2, 3, 0, 2])
+    page = np.array([0, 0, 2, 2, 3, 3])  # page 1 has no words
+    mixture, held = subjects.fit_mixture(page, np.array([5.0, 5, 4, 4, 6, 6]), said[words], np.full((4, 2), 0.5), 50)
+    assert mixture[0, 0] > 0.95 and mixture[2, 1] > 0.95 and abs(mixture[3, 0] - 0.5) < 1e-6
+    assert held.sum(1).round(6).tolist() == [10, 0, 8, 12]
+
+
 def test_clean_bags(spark):
     df = spark.createDataFrame([(1, "a", [(60, 2), (60, 3), (7, 9), (61, None), (62, -1), (0, 4)], 1, "x"), (2, None, None, 1, "x"), (1, "a", [(60, 1)], 1, "x")], BAG)
     assert rows(subjects.clean_bags(df, [60, 61, 62])) == [(1, [60], [5]), (2, [], [])]
