@@ -3,8 +3,11 @@
 A batch of texts is one byte array. Pieces (the tokenizer's pre-tokens) are found from character classes with array
 operations. Pieces met before are taken from a direct-mapped table. The distinct new pieces are bucketed by length into
 padded matrices; in each round every row merges its leftmost pair of minimum rank, found by a hashed pair lookup, and
-becomes one shorter; rows without a pair leave the matrix. Pieces longer than ``LONG`` merge all occurrences of their
-minimum pair in a round, which gives the same tokens: a merged pair never makes room for one of a lower rank.
+becomes one shorter; rows without a pair leave the matrix. Pieces of more than ``WIDEST`` bytes are first cut wherever no merge can
+reach across (no merge of the vocabulary joins the two bytes at its seam), so that nearly all of their parts are rows of the
+matrices too. A part that is still wider takes its ranks in order, all places of a rank at once: time grows with its length, not
+its square. That is the same as merging one pair at a time where a merge never makes room for one of a lower rank, which is
+tested when the vocabulary is read; without that, rows of any width are merged in matrices.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole; special tokens written in a
 text are ordinary text; rows that repeat are encoded again; empty tables give empty tables; further columns are ignored.
@@ -12,7 +15,9 @@ text are ordinary text; rows that repeat are encoded again; empty tables give em
 
 from __future__ import annotations
 
+import heapq
 import json
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,7 +29,8 @@ from tesselark.llm.bytecols import chunks, class_of_bytes, expand_runs, text_byt
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-LONG = 64
+#: Columns of the widest matrix, and rows of one.
+WIDEST, ROWS = 64, 1 << 14
 #: Slots of the table of known pieces, per Python worker.
 KNOWN = 1 << 18
 _NO_RANK = np.int32(2**31 - 1)
@@ -119,12 +125,21 @@ class PairTable:
 class ByteBpe:
     """The tokenizer, with its table of known pieces."""
 
-    def __init__(self, byte_ids: np.ndarray, pairs: np.ndarray, made: np.ndarray):
+    def __init__(self, byte_ids: np.ndarray, pairs: np.ndarray, made: np.ndarray, classes: np.ndarray | None = None):
         self.byte_ids, self.table = byte_ids, PairTable(pairs, made)
-        self.classes = piece_classes()
+        self.classes = piece_classes() if classes is None else classes
+        born = np.full(int(max(byte_ids.max(), pairs.max(initial=0), made.max(initial=0))) + 1, -1)  # rank that makes each id
+        first, last = np.zeros(len(born), np.int64), np.zeros(len(born), np.int64)
+        first[byte_ids] = last[byte_ids] = np.arange(256)
+        self.joins = np.zeros((256, 256), bool)
+        for rank, ((x, y), z) in enumerate(zip(pairs.tolist(), made.tolist(), strict=True)):
+            born[z] = rank if born[z] < 0 else len(made)  # an id with two merges has no one rank
+            first[z], last[z] = first[x], last[y]
+            self.joins[last[x], first[y]] = True
+        #: Whether a merge only ever makes room for merges of a higher rank.
+        self.ordered = bool((np.maximum(born[pairs[:, 0]], born[pairs[:, 1]]) < np.arange(len(pairs))).all()) if len(pairs) else True
         self.known = {"lo": np.zeros(KNOWN, np.uint64), "hi": np.zeros(KNOWN, np.uint64), "size": np.zeros(KNOWN, np.uint8), "at": np.zeros(KNOWN, np.int64), "count": np.zeros(KNOWN, np.int64)}
         self.pool = np.zeros(0, np.int32)
-        self.long: dict[bytes, np.ndarray] = {}
 
     @staticmethod
     def read(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,26 +182,61 @@ class ByteBpe:
         return out, count
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank = self.table.rank(ids[:-1], ids[1:])
-            low = rank.min()
-            if low == _NO_RANK:
-                break
-            at = np.flatnonzero(rank == low)
-            run = np.flatnonzero(np.append(True, np.diff(at) > 1))  # in 'aaa' the pairs overlap: every other one merges
+        """Tokens of one sequence, rank by rank: the places of each rank wait in a heap of ranks."""
+        n = len(ids)
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        live = np.ones(n, bool)
+        rank = np.full(n, _NO_RANK, np.int32)
+        rank[:-1] = self.table.rank(ids[:-1], ids[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != _NO_RANK]
+            places = places[np.argsort(rank[places], kind="stable")]
+            for group in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1):
+                if len(group):
+                    r = int(rank[group[0]])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(group)
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))  # in 'aaa' the pairs overlap: every other one merges
             at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
-            ids[at] = self.table.made[low]
-            ids = np.delete(ids, at + 1)
-        return ids
+            gone = after[at]
+            ids[at], live[gone] = self.table.made[r], False
+            after[at] = after[gone]
+            has = after[at] >= 0
+            before[after[at[has]]] = at[has]
+            changed = np.unique(np.concatenate([at, before[at]]))
+            changed = changed[(changed >= 0)]
+            changed = changed[live[changed]]
+            has = after[changed] >= 0
+            rank[changed[~has]] = _NO_RANK
+            changed = changed[has]
+            rank[changed] = self.table.rank(ids[changed], ids[after[changed]])
+            wait(changed)
+        return ids[live]
 
     def _new(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pieces, by length buckets; returns where each lies in the pool and how many tokens it has."""
+        if (size > WIDEST).any():
+            return self._cut(data, start, size)
         at, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         filled, parts = len(self.pool), [self.pool]
         width = 1
-        while width <= LONG:
-            rows = np.flatnonzero((size <= width) & (size > width // 2))
-            if len(rows):
+        while width <= WIDEST:
+            bucket = np.flatnonzero((size <= width) & (size > width // 2))
+            for k in range(0, len(bucket), ROWS):
+                rows = bucket[k : k + ROWS]
                 columns = np.arange(width)
                 inside = columns < size[rows][:, None]
                 matrix = np.where(inside, self.byte_ids[data[np.minimum(start[rows][:, None] + columns, len(data) - 1)]], -1)
@@ -195,14 +245,41 @@ class ByteBpe:
                 parts.append(tokens)
                 filled += len(tokens)
             width *= 2
-        for i in np.flatnonzero(size > LONG):
-            tokens = self.merge_long(self.byte_ids[data[start[i] : start[i] + size[i]]].copy())
-            at[i], count[i] = filled, len(tokens)
-            parts.append(tokens)
-            filled += len(tokens)
         self.pool = np.concatenate(parts).astype(np.int32)
         return at, count
 
+    def _cut(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces some of which are wider than a matrix, by their parts."""
+        place = expand_runs(size, start)
+        head = np.ones(len(place), bool)
+        head[1:] = ~self.joins[data[place[:-1]], data[place[1:]]]
+        head[np.cumsum(size) - size] = True
+        first = np.flatnonzero(head)
+        part, wide = place[first], np.diff(np.append(first, len(place)))
+        raw = data.tobytes()
+        numbers: dict[bytes, int] = {}
+        back = np.array([numbers.setdefault(raw[s : s + z], len(numbers)) for s, z in zip(part.tolist(), wide.tolist(), strict=True)])
+        _, pick = np.unique(back, return_index=True)
+        begin, length = part[pick], wide[pick]
+        at, count = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
+        short = length <= WIDEST
+        at[short], count[short] = self._new(data, begin[short], length[short])
+        more, filled = [self.pool], len(self.pool)
+        for i in np.flatnonzero(~short):
+            ids = self.byte_ids[data[begin[i] : begin[i] + length[i]]].copy()
+            tokens = self.merge_long(ids) if self.ordered else self.merge_rows(ids[None].astype(np.int32))[0]
+            at[i], count[i] = filled, len(tokens)
+            more.append(tokens)
+            filled += len(tokens)
+        self.pool = np.concatenate(more).astype(np.int32)
+        # the tokens of a piece are those of its parts one after another
+        at, count = at[back], count[back]
+        ends = np.append(0, np.cumsum(count))
+        edge = np.append(np.searchsorted(first, np.cumsum(size) - size), len(first))
+        filled = len(self.pool)
+        self.pool = np.concatenate([self.pool, self.pool[expand_runs(count, at)]])
+        return filled + ends[edge[:-1]], np.diff(ends[edge])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the offsets of the texts in them."""
         start = piece_starts(data, offsets, self.classes)
@@ -246,15 +323,25 @@ class ByteBpe:
         return ids, ends[np.searchsorted(start, offsets)]
 
 
+_loaded: dict[str, ByteBpe] = {}
+
+
+def _worker(name: str, parts) -> ByteBpe:
+    """The tokenizer of this Python worker, made once and kept for its later tasks."""
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = ByteBpe(*parts.value)
+    return _loaded[name]
+
+
 def encode_column(texts: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``key, ids``: the ids of each text. Narrow: no shuffle, one pass; the vocabulary is broadcast (some MB, fixed)."""
-    parts = texts.sparkSession.sparkContext.broadcast(ByteBpe.read(tokenizer))
+    parts, name = texts.sparkSession.sparkContext.broadcast((*ByteBpe.read(tokenizer), piece_classes())), uuid.uuid4().hex
     kind = {f.name: f.dataType.simpleString() for f in texts.schema}[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
         for batch in batches:
-            bpe = bpe or ByteBpe(*parts.value)
+            bpe = _worker(name, parts)
             data, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets):
                 ids, ends = bpe.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

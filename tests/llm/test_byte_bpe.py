@@ -1,6 +1,8 @@
 import os
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -58,3 +60,31 @@ def test_column(spark, public):
     got = byte_bpe.encode_column(df, "doc_id", "text").collect()
     assert [(r.doc_id, r.ids) for r in got] == [(d[0], i) for d, i in zip(data, public([d[1] for d in data]), strict=True)]
     assert byte_bpe.encode_column(df.where("false"), "doc_id", "text").collect() == []
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "a", "ab", "бвгд", "=-"])
+def test_long_pieces_take_time_in_proportion(bpe, public, alphabet):
+    """A megabyte without a space, beyond any matrix: equal, and far from quadratic (a quarter would take a 16th then)."""
+    r = random.Random(2)
+    text = "".join(r.choice(alphabet) for _ in range(1 << 20))
+    start = time.perf_counter()
+    got = encode(bpe, [text])
+    assert time.perf_counter() - start < 20
+    assert got == public([text])
+
+
+def test_lengths_around_the_widest_matrix(bpe, public):
+    r = random.Random(3)
+    texts = ["".join(r.choice(al) for _ in range(n)) for n in range(byte_bpe.WIDEST - 3, byte_bpe.WIDEST + 60) for al in ("ehst", "01", "ж", "e")]
+    assert encode(bpe, texts) == public(texts)
+
+
+def test_a_vocabulary_whose_merges_make_room_for_lower_ranks():
+    """There the ranks of a long piece cannot be taken in order: 'ab' joins after 'abc' could, so one pair at a time it is."""
+    ids = np.arange(256, dtype=np.int32)
+    pairs, made = np.array([[256, ord("c")], [ord("a"), ord("b")]]), np.array([257, 256])
+    odd = byte_bpe.ByteBpe(ids, pairs, made, np.full(0x110000, byte_bpe.LETTER, np.uint8))
+    assert not odd.ordered
+    text = "abc" * 60 + "x"
+    got, _ = odd.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert got.tolist() == [257] * 60 + [ord("x")]
