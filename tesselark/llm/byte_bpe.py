@@ -138,6 +138,8 @@ class ByteBpe:
             self.joins[last[x], first[y]] = True
         #: Whether a merge only ever makes room for merges of a higher rank.
         self.ordered = bool((np.maximum(born[pairs[:, 0]], born[pairs[:, 1]]) < np.arange(len(pairs))).all()) if len(pairs) else True
+        if not self.ordered:
+            self.joins[:] = True  # ends of tokens are not known in order of rank: nothing is cut
         self.known = {"lo": np.zeros(KNOWN, np.uint64), "hi": np.zeros(KNOWN, np.uint64), "size": np.zeros(KNOWN, np.uint8), "at": np.zeros(KNOWN, np.int64), "count": np.zeros(KNOWN, np.int64)}
         self.pool = np.zeros(0, np.int32)
 
