@@ -1,12 +1,18 @@
 """Personal information in free text: found by kind and replaced by typed placeholders.
 
 Anchor expansion: one Aho-Corasick pass over the lower-cased text finds at-signs and their spelt-out forms, schemes, pairs of
-digits around a separator, cues of personal identity numbers, words of streets and post boxes, given names, and what shows a name
-with any given name: titles, words of birth, years of life, and ends of family names. A local parser for each kind expands its anchor to both sides and validates what it finds; nothing else of the text is looked at.
+digits around a separator, cues of numbers, words of streets and post boxes, known given names, and what shows a name with any
+given name: titles, words of birth and of speech, years of life, and ends of family names. A local parser for each kind expands
+its anchor to both sides, to the ends of the words that its grammar takes in, and validates what it finds; nothing else of the
+text is looked at.
+
+Given names are learned from the whole corpus first (:func:`learned_names`): those that stand with ``LEAST_FAMILIES`` family names in
+``LEAST_DOCUMENTS`` documents beside a cue that shows a name with any given name. They are then anchors wherever they stand, beside a short list of
+names that are common in many countries.
 
 Kinds: ``email``, ``phone``, ``id_number`` (only beside a cue that names a personal number: bare numbers name objects),
-``address`` (a street with a house number, or a post box), ``name`` (a given name with a family name in either order; a given name that is in no list needs a title before it, a birth or
-years of life behind it, or a family name with a known end).
+``address`` (a street with a house number, or a post box), ``name`` (a given name with a family name in either order; a given name
+that is neither listed nor learned needs a title before it, words of birth, speech or years of life behind it, or a family name with a known end).
 
 Defined results: null and empty texts have nothing; texts are searched whole; where finds overlap, the earlier and then
 the longer one stands; the text around a find is kept as it is; repeated rows and finds give one row per document and
@@ -16,23 +22,31 @@ kind; empty tables give no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesselark.runtime import bounded_collect
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = "email", "phone", "id_number", "address", "name"
 KINDS = (EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME)
 
-#: Given names that make a name together with a family name. A larger list can be passed in.
+#: Given names that are common in many countries. More are learned, and a table of others can be passed in.
 GIVEN_NAMES = """
-agnes anselm aroha bettina bilal bruno casimir chiara clara daniel delphine dmitri edmund elena esi farah fiona florence
-goran gustav hana henrik hester ibrahim ilse ingrid jasper jolanda katrin kofi leila leopold lucian marta martin mateus
-miriam nadia noor orla oswald otilia pavel petra priya quentin rania rosalind saoirse sofia stefan suresh tamsin tereza
-tobias ulrich umberto valentina victor viola wendell wiktor xenia yara yusuf zelda zoltan
-anna maria james john robert michael william david elizabeth jennifer linda barbara susan thomas charles mary patricia
-вера олег дарья ирина павел анна мария иван сергей ольга наталья елена дмитрий николай алексей андрей татьяна михаил
+adam ahmed aisha ali alice amelia amina amy ana andrea andrew angela anita anna anne antonio arjun ava barbara beatriz benjamin
+carlos carmen carol caroline catherine charles charlotte chen christine christopher clara claire claudia daniel david deborah
+diana diego dorothy edward elena elizabeth ella emily emma eric esther eva fatima fernando francesca francisco frank gabriel
+george giovanni giulia giuseppe grace hannah hans hassan helen henry hiroshi hugo ibrahim ines irene isabella ivan jack jacob
+james jane jean jennifer jessica joan john jonathan jorge jose joseph juan julia karen kate kenji kevin khadija laura leo liam
+linda lisa lucas lucia lucy luis maria margaret marie mark marta martin mary matteo matthew mei michael michelle miguel
+mohamed mohammed nancy natalia natasha nicholas nicole noah nora oliver olivia omar pablo patricia patrick paul pedro peter
+philip pierre priya rachel rahul raj rebecca richard robert rosa ruth ryan samuel sandra sara sarah sofia sophia sophie
+stephen susan teresa thomas tomas victoria vincent walter wei william xin yuki yusuf zainab
+александр алексей андрей анна дмитрий елена иван ирина мария михаил наталья николай ольга павел сергей татьяна
 """.split()
 #: Words that make a landmark of a given name before them.
 LANDMARKS = frozenset(
@@ -47,8 +61,15 @@ FAMILY_ENDS = (
 ).split()
 #: Titles before a name of any given name.
 TITLES = "dr. |mr. |mrs. |ms. |prof. |dr |mr |mrs |ms |herr |frau |señor |señora |signor |signora |monsieur |madame |mme |mlle ".split("|")
-#: What follows a name of any given name.
-LIVES = [" (born ", ", born ", " was born ", " (b. ", " née ", *(f" ({c}" for c in "12")]
+#: What follows a name of any given name: words of birth, years of life, words of speech.
+SPEECH = "said says wrote writes told asked replied explained argued recalled agreed joked whispered shouted smiled laughed emailed phoned apologised resigned".split()
+LIVES = [" (born ", ", born ", " was born ", " (b. ", " née ", *(f" ({c}" for c in "12"), *(f" {w} " for w in SPEECH)]
+#: Cues of telephone numbers.
+DIALS = ["tel:", "tel.", "tel ", "phone:", "phone ", "telephone:", "telephone ", "mobile:", "mobile ", "fax:", "fax ", "telefon:", "telefon ", "tél.", "tél ", "móvil:", "тел."]
+#: A learned given name stands with so many family names, in so many documents, beside a cue.
+LEAST_FAMILIES, LEAST_DOCUMENTS = 2, 3
+#: Learned names are held by every worker. Beyond this, raise the two numbers above.
+MAX_NAMES = 1_000_000
 #: Capitalised words before a family name that are no given name: openers of sentences, parts of place names, offices, months and days.
 NOT_GIVEN = LANDMARKS | frozenset(
     "a an the this that these those his her its their our my your he she it they we i you who whose which what when where while why how if as at by in on of to for from with without near "
@@ -88,6 +109,9 @@ _PHONES = [
         r"0[1-9](?:[ .-]\d{2}){4}",
     )
 ]
+#: Characters of the longest number that the patterns above can match.
+_LONGEST_PHONE = 48
+_DIALLED = re.compile(r"\s?(?:no\.?|number|nr\.?)?\s?[:.]?\s?(\+?\(?\d{1,5}\)?(?:" + _SEP[:-1] + r"/]?\(?\d{1,7}\)?){0,5})", re.I)
 _EXTENSION = re.compile(r"\s?(?:ext\.?|x|extension)\s?\d{1,5}", re.I)
 _ID_VALUE = re.compile(r"(?:[A-Z]{1,3}\s?(?:\d{6,9}|\d{2}\s\d{2}\s\d{2})(?:\s?[A-Z])?|[A-Z]\d{3}[A-Z]\d{5}|\d{3}[ -]\d{2}[ -]\d{4}|\d[\d]*(?:[ .\-/]\d+){0,4}[A-Z]?|(?=[A-Z0-9]*\d)[A-Z0-9]{6,20})(?![A-Za-z0-9])")
 _STREET_LEFT = re.compile(
@@ -107,13 +131,19 @@ _TITLED = re.compile("(" + _WORD + ")[   ]" + _INITIALS + "(" + _PARTICLE + r"?"
 _BEFORE_LIFE = re.compile(r"(?<![\w’'.-])(" + _WORD + ")[   ]" + _INITIALS + "(" + _PARTICLE + r"?" + _WORD + ")$")
 _BEFORE_FAMILY = re.compile(r"(?<![\w’'.@-])(" + _WORD + ")[   ]" + _INITIALS + _PARTICLE + r"?(?:" + _WORD + r"-)?$")
 _COMMA_GIVEN = re.compile(r",[  \n](" + _WORD + r")(?![\w’'@-])(?:[  ][A-ZА-Я]\.)?")
-_BORN = re.compile(r"(?: \(born |, born | was born | \(b\. | née | \((?:c\. ?)?\d{3,4} ?[–-] ?(?:\d{3,4})?\))")
+_BORN = re.compile(r"(?: (?:" + "|".join(SPEECH) + r") | \(born |, born | was born | \(b\. | née | \((?:c\. ?)?\d{3,4} ?[–-] ?(?:\d{3,4})?\))")
 _BACKWARD = re.compile(r"((?:" + _PARTICLE + r")?" + _WORD + r"),[  \n]$")
 
 
-def _automaton(given: frozenset[str]) -> ahocorasick.Automaton:
+def _automaton(given: frozenset[str], names_only: bool = False) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     anchors: dict[str, set[str]] = {}
+    if names_only:  # what shows a name with any given name
+        for words, kind in ((TITLES, "title"), (LIVES, "life"), (FAMILY_ENDS, "family")):
+            for word in words:
+                a.add_word(word, (len(word), tuple({kind, *(a.get(word, (0, ()))[1])})))
+        a.make_automaton()
+        return a
     for word, kind in [("@", EMAIL), ("＠", EMAIL), ("(at)", EMAIL), ("[at]", EMAIL), ("{at}", EMAIL), (" dot ", EMAIL)]:
         anchors.setdefault(word, set()).add(kind)
     for x in "0123456789":
@@ -138,6 +168,8 @@ def _automaton(given: frozenset[str]) -> ahocorasick.Automaton:
     for word in TITLES:
         if word:
             anchors.setdefault(word, set()).add("title")
+    for word in DIALS:
+        anchors.setdefault(word, set()).add("dial")
     for word in LIVES:
         anchors.setdefault(word, set()).add("life")
     for word in FAMILY_ENDS:
@@ -156,12 +188,44 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-")
+
+
+def _back(text: str, at: int, chars: frozenset[str]) -> int:
+    """Where the run of these characters that ends at ``at`` begins."""
+    while at and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
+def _tokens_back(text: str, at: int, tokens: int) -> int:
+    """Where the last so many words before ``at`` begin, whatever their length."""
+    for _ in range(tokens):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+        if not at:
+            break
+    return at
+
+
+def _labels_back(text: str, at: int) -> int:
+    """Where the at-sign of the domain whose labels end at ``at`` can begin: behind the words that make up the labels."""
+    while True:
+        at = _tokens_back(text, at, 1)
+        word = text[max(0, _tokens_back(text, at, 1)) : at].strip().lower()
+        if word != "dot" or not at:
+            return max(0, _tokens_back(text, at, 1) - 1)
+        at = _tokens_back(text, at, 1)
+
+
 class Finder:
     """Finds personal information in a text."""
 
-    def __init__(self, given: frozenset[str] = frozenset(GIVEN_NAMES)):
-        self.given, self.anchors = given, _automaton(given)
-        self.parsers = {EMAIL: self.email, PHONE: self.phone, ID_NUMBER: self.id_number, "street": self.street, "german": self.german, "french": self.french, "box": self.box, "spanish": self.spanish, NAME: self.name, "title": self.title, "life": self.life, "family": self.family}
+    def __init__(self, given: frozenset[str] = frozenset(GIVEN_NAMES), names_only: bool = False):
+        self.given, self.anchors = given, _automaton(given, names_only)
+        self.parsers = {EMAIL: self.email, PHONE: self.phone, ID_NUMBER: self.id_number, "street": self.street, "german": self.german, "french": self.french, "box": self.box, "spanish": self.spanish, NAME: self.name, "title": self.title, "dial": self.dial, "life": self.life, "family": self.family}
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Start, end and kind of each find, in order, without overlaps."""
@@ -189,7 +253,8 @@ class Finder:
 
     def email(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         if text[start:end].lower() == " dot ":  # 'a at b dot c': the at-sign is a word further left
-            at = list(_SPELT_AT.finditer(text, max(0, start - 60), start))
+            border = _labels_back(text, start)
+            at = list(_SPELT_AT.finditer(text, border, start))
             if not at:
                 return None
             sign = at[-1]
@@ -198,7 +263,7 @@ class Finder:
             sign = sign or _SPELT_AT.match(text, start)
             if not sign:
                 return None
-        local = _EMAIL_LOCAL.search(text, max(0, sign.start() - 64), sign.start())
+        local = _EMAIL_LOCAL.search(text, _back(text, sign.start(), _LOCAL), sign.start())
         domain = _DOMAIN.match(text, sign.end())
         if not local or not domain:
             return None
@@ -216,7 +281,7 @@ class Finder:
 
     def phone(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         begin = start
-        while begin > 0 and begin > start - 24 and (text[begin - 1].isdigit() or text[begin - 1] in "+()" or (text[begin - 1] in _DIGIT_SEPARATORS and begin > 1 and (text[begin - 2].isdigit() or text[begin - 2] in "()"))):
+        while begin > 0 and begin > start - _LONGEST_PHONE and (text[begin - 1].isdigit() or text[begin - 1] in "+()" or (text[begin - 1] in _DIGIT_SEPARATORS and begin > 1 and (text[begin - 2].isdigit() or text[begin - 2] in "()"))):
             begin -= 1
         for at in range(begin, start + 1):
             if text[at] not in "+(0123456789":
@@ -241,6 +306,16 @@ class Finder:
                 return at - scheme, extension.end() if extension else m.end(), PHONE
         return None
 
+    def dial(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
+        """A number behind a word that announces it, in any grouping."""
+        if start and text[start - 1].isalnum():
+            return None
+        m = _DIALLED.match(text, end)
+        if not m or not 6 <= sum(c.isdigit() for c in m[1]) <= 15 or text[m.end() : m.end() + 1].isalnum():
+            return None
+        extension = _EXTENSION.match(text, m.end())
+        return m.start(1), extension.end() if extension else m.end(), PHONE
+
     def id_number(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         if start and text[start - 1].isalnum() or (end < len(text) and text[end].isalpha() and text[end : end + 1] not in "s"):
             return None
@@ -249,7 +324,7 @@ class Finder:
         m = _ID_VALUE.match(text, at)
         if m and sum(c.isdigit() for c in m[0]) >= 6:
             return at, m.end(), ID_NUMBER
-        left = re.compile(r"((?:\d{3}[ -]\d{2}[ -]\d{4}|\d{9}|[A-Z]{1,3}\s?\d{6,9}(?:\s?[A-Z])?))\s?\($").search(text, max(0, start - 24), start)
+        left = re.compile(r"((?:\d{3}[ -]\d{2}[ -]\d{4}|\d{9}|[A-Z]{1,3}\s?\d{6,9}(?:\s?[A-Z])?))\s?\($").search(text, max(0, start - 24), start)  # none of these is longer
         if left and not text[max(0, left.start() - 1) : left.start()].isalnum():
             return left.start(1), left.end(1), ID_NUMBER
         return None
@@ -264,7 +339,7 @@ class Finder:
             return None
         if not text[start + 1].isupper():
             return None
-        left = _STREET_LEFT.search(text, max(0, start - 70), start + 1)
+        left = _STREET_LEFT.search(text, _tokens_back(text, start, 6), start + 1)
         if not left or not _CAPITALS.search(left[0]):
             return None
         if end < len(text) and text[end] == "." and text[start + 1 : end].lower() in ("st", "rd", "ave", "ln", "blvd"):
@@ -279,14 +354,14 @@ class Finder:
         return self._with_place(text, begin, m.end()) if m else None
 
     def french(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
-        for at in range(max(0, start - 10), start):
+        for at in range(max(0, start - 10), start):  # a house number has no more characters
             m = _FRENCH.match(text, at)
             if m and m.start() < start <= m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
                 return self._with_place(text, m.start(), m.end())
         return None
 
     def box(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
-        for at in range(max(0, start - 14), start + 1):
+        for at in range(max(0, start - 14), start + 1):  # nor has what stands before 'box'
             m = _BOX.match(text, at)
             if m and m.start() <= start < m.end() and not text[max(0, m.start() - 1) : m.start()].isalnum():
                 return self._with_place(text, m.start(), m.end())
@@ -320,7 +395,7 @@ class Finder:
                 if behind and behind[1][:1].isupper() and behind[1].lower() in LANDMARKS:
                     return None
                 return start, m.end(), NAME
-        b = _BACKWARD.search(text, max(0, start - 60), start)
+        b = _BACKWARD.search(text, _tokens_back(text, start, 4), start) if start > 1 and text[start - 1].isspace() else None
         if b and re.split(r"[\s-]", b[1])[-1].lower().endswith(tuple(FAMILY_ENDS)) and not re.split(r"[\s-]", b[1])[-1].lower() in LANDMARKS:
             initial = re.compile(r"(?:[  ][A-ZА-Я]\.)?").match(text, end)
             return b.start(1), initial.end(), NAME
@@ -341,7 +416,7 @@ class Finder:
     def life(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
         if not start or not text[start - 1].isalnum() or not _BORN.match(text, start):
             return None
-        m = _BEFORE_LIFE.search(text, max(0, start - 90), start)
+        m = _BEFORE_LIFE.search(text, _tokens_back(text, start, 7), start)
         return (m.start(), start, NAME) if m and self._person(text, m[1], m[2], start) else None
 
     def family(self, text: str, start: int, end: int) -> tuple[int, int, str] | None:
@@ -353,7 +428,7 @@ class Finder:
         word = text[begin:end]
         if end - begin < 5 or not word[0].isupper() or not (word[1:].islower() or word.isupper()):
             return None
-        m = _BEFORE_FAMILY.search(text, max(0, begin - 90), begin)
+        m = _BEFORE_FAMILY.search(text, _tokens_back(text, begin, 7), begin) if begin else None
         if m and self._person(text, m[1], word, end):
             return m.start(), end, NAME
         # 'Family, Given': places stand so too, so that it takes an initial, a line of its own, or a bracket, semicolon or colon around it
@@ -363,6 +438,17 @@ class Finder:
         edge = (begin == 0 or text[begin - 1] in "\n(;" or text[max(0, begin - 2) : begin] in ("; ", ": ", "* ", "- ")) and (m.end() == len(text) or text[m.end()] in "\n);:")
         return (begin, m.end(), NAME) if edge or m[0].endswith(".") else None
 
+    def cued(self, text: str) -> set[tuple[str, str]]:
+        """Given and family names of a text that stand beside a cue, in lower case."""
+        out = set()
+        for start, end, _ in self.spans(text):
+            found = text[start:end]
+            family, comma, given = found.partition(", ")
+            words = (given if comma else found).split()
+            if words and re.fullmatch(_WORD, words[0]):
+                out.add((words[0].lower(), family.lower() if comma else words[-1].lower()))
+        return out
+
     def redact(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with placeholders such as ``[EMAIL]``, and how many finds there are of each kind."""
         out, at, count = [], 0, dict.fromkeys(KINDS, 0)
@@ -373,14 +459,57 @@ class Finder:
         return "".join([*out, text[at:]]), count
 
 
-def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", given_names: list[str] | None = None) -> DataFrame:
-    """``key, text, kinds``: the texts with placeholders, and the kinds found. One narrow pass; null texts stay null."""
-    given = frozenset(x.lower() for x in given_names or GIVEN_NAMES)
+_finders: dict[str, Finder] = {}
+
+
+def _worker(name: str, given) -> Finder:
+    """The finder of this Python worker, made once and kept for its later tasks."""
+    if name not in _finders:
+        _finders.clear()
+        _finders[name] = Finder(given.value if given is not None else frozenset(), names_only=given is None)
+    return _finders[name]
+
+
+def learned_names(documents: DataFrame, text: str = "text", families: int = LEAST_FAMILIES, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``given, families, documents``: given names, in lower case, that stand with enough family names in enough documents beside
+    a cue. All documents are read; what is shuffled are pairs of names, counted within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _worker("cues", None)
+        for batch in batches:
+            pairs: dict[tuple[str, str], int] = {}
+            for t in batch.column(0).to_pylist():
+                for pair in finder.cued(t):
+                    pairs[pair] = pairs.get(pair, 0) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in pairs], pa.string()), pa.array([f for _, f in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["given", "family", "documents"]
+            )
+
+    rows = documents.where(F.length(text) > 0).select(text).mapInArrow(run, "given string, family string, documents long")
+    pairs = rows.groupBy("given", "family").agg(F.sum("documents").alias("documents"))
+    names = pairs.groupBy("given").agg(F.count("*").alias("families"), F.sum("documents").alias("documents"))
+    return names.where((F.col("families") >= families) & (F.col("documents") >= least))
+
+
+def _known_names(documents: DataFrame, text: str, given_names: DataFrame | list[str] | None, learn: bool):
+    """The given names that are anchors, broadcast: those of the list or table, and the learned ones."""
+    if isinstance(given_names, DataFrame):
+        given_names = [r[0] for r in bounded_collect(given_names.select(given_names.columns[0]), MAX_NAMES, "the table of given names") if r[0]]
+    names = {x.lower() for x in (GIVEN_NAMES if given_names is None else given_names)}
+    if learn:
+        names |= {r[0] for r in bounded_collect(learned_names(documents, text).select("given"), MAX_NAMES, "the learned given names")}
+    return documents.sparkSession.sparkContext.broadcast(frozenset(names)), uuid.uuid4().hex
+
+
+def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", given_names: DataFrame | list[str] | None = None, learn: bool = True) -> DataFrame:
+    """``key, text, kinds``: the texts with placeholders, and the kinds found. One narrow pass after that of the names; null
+    texts stay null."""
+    given, name = _known_names(documents, text, given_names, learn)
     kind = {f.name: f.dataType.simpleString() for f in documents.schema}[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
         for batch in batches:
+            finder = _worker(name, given)
             texts, kinds = [], []
             for t in batch.column(1).to_pylist():
                 new, count = finder.redact(t) if t else (t, {})
@@ -391,14 +520,14 @@ def redacted(documents: DataFrame, key: str = "doc_id", text: str = "text", give
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, text string, kinds array<string>")
 
 
-def found_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", given_names: list[str] | None = None) -> DataFrame:
+def found_kinds(documents: DataFrame, key: str = "doc_id", text: str = "text", given_names: DataFrame | list[str] | None = None, learn: bool = True) -> DataFrame:
     """``key, kind``: the kinds found in each document. Only kinds leave the worker."""
-    given = frozenset(x.lower() for x in given_names or GIVEN_NAMES)
+    given, name = _known_names(documents, text, given_names, learn)
     type_of_key = {f.name: f.dataType.simpleString() for f in documents.schema}[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
         for batch in batches:
+            finder = _worker(name, given)
             rows, kinds = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 for k in sorted({s[2] for s in finder.spans(t)}) if t else ():

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tesselark.llm import personal
@@ -55,6 +57,57 @@ def test_names_with_given_names_of_no_list():
         assert finder.spans(text) == [], text
 
 
+def test_finds_are_as_long_as_they_are():
+    """Beyond any window: words of any length around an anchor."""
+    finder = personal.Finder()
+    long = "b" * 300
+    for text in (f"{long}@{long}.example", "x AT " + "y DOT " * 40 + "example", f"{long}(at)desk.example", f"x AT {long} DOT example"):
+        assert finder.redact(f"write {text} now")[0] == "write [EMAIL] now", text[:40]
+    for text in (f"12 Q{long} W{long} Street", f"Flat 3, 12 Q{long} Road"):
+        assert finder.redact(f"at {text} now")[0] == "at [ADDRESS] now", text[:40]
+    for text in (f"Petra X{long} Y{long}-Kellström", f"X{long}beck, Maria"):
+        assert "[NAME]" in finder.redact(f"by {text};")[0], text[:40]
+    assert finder.redact("Tel: 040 123456, phone no. 11 22 33 44 55, fax 12-345-678")[0] == "Tel: [PHONE], phone no. [PHONE], fax [PHONE]"
+    assert finder.spans("1 2 3 4 5 6 7 8 9 0 " * 20_000) == []
+    assert finder.spans("tel 12, phones 123456 and hotel 123456") == []
+
+
+def test_common_and_cued_names():
+    finder = personal.Finder()
+    for name in ("Giulia Rossi", "Emma Johnson", "Mohammed Khan", "Sarah Connor", "Liam Murphy", "Wei Zhang", "Yuki Tanaka", "Olivia Brown"):
+        assert finder.redact(f"Then {name} came.")[0] == "Then [NAME] came.", name
+    assert finder.redact("It was Kwame Mensah who came; Thandiwe Dube said so.")[0] == "It was Kwame Mensah who came; [NAME] said so."
+
+
+def test_names_are_learned_from_the_corpus(spark):
+    """A given name of no list that stands beside cues elsewhere is an anchor where it has none."""
+    cues = ["Dr. Quorvin Tal spoke", "Quorvin Besk (born 1911) was", "the late Quorvin Tal said so", "Ms. Ozrelle Pim came", "Ozrelle Pim was born here"]
+    plain = ["a gift of Quorvin Hask to all", "a gift of Ozrelle Pim to all", "the Quorvin Bridge", None, ""]
+    df = spark.createDataFrame(list(enumerate(cues + plain)), "doc_id long, text string")
+    learned = personal.learned_names(df)
+    assert rows(learned) == [("quorvin", 2, 3)]  # the other stands with one family name
+    got = rows(personal.found_kinds(df))
+    assert got == [(i, "name") for i in (0, 1, 2, 3, 4, 5)]
+    assert rows(personal.found_kinds(df, learn=False)) == [(i, "name") for i in range(5)]
+    listed = spark.createDataFrame([("Ozrelle",), (None,)], "name string")
+    assert (6, "name") in rows(personal.found_kinds(df, given_names=listed))
+
+
+def test_held_out_names(spark):
+    """Names that no list holds, in a corpus where a third of the mentions has a cue: nine in ten must be found."""
+    r = random.Random(5)
+    syllables = ["ba", "ke", "lo", "mi", "nu", "ra", "so", "ti", "vu", "ze", "dri", "gla"]
+    given = sorted({"".join(r.sample(syllables, 2)).capitalize() + "n" for _ in range(40)})
+    family = sorted({"".join(r.sample(syllables, 3)).capitalize() + "k" for _ in range(300)})
+    plain, cued = ["We owe this to {} and others.", "a note that {} left there", "the house of {} stood"], ["Dr. {} came.", "It was {} (born 1920).", "Later {} wrote it."]
+    data = [(i, r.choice(cued if r.random() < 0.33 else plain).format(f"{r.choice(given)} {r.choice(family)}")) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert not {g.lower() for g in given} & set(personal.GIVEN_NAMES)
+    assert personal.found_kinds(df, given_names=[]).count() >= 0.9 * len(data)
+    decoys = spark.createDataFrame([(i, f"the {r.choice(given)} {r.choice(['Bridge', 'Prize', 'Harbour'])} stood") for i in range(200)], "doc_id long, text string")
+    assert personal.found_kinds(df.unionByName(decoys.withColumn("doc_id", decoys.doc_id + 5000))).where("doc_id >= 5000").count() == 0
+
+
 def test_columns(spark):
     long = "word " * 60_000 + "a@b.example" + " word" * 60_000
     df = spark.createDataFrame([(1, "Call 839-555-0117", "x"), (2, None, "x"), (3, "", "x"), (1, "Call 839-555-0117", "x"), (4, long, "x"), (None, "a@b.example", "x")], "doc_id long, text string, kind string")
