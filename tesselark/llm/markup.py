@@ -1,18 +1,24 @@
 """Markup residue in pages: what kinds there are, and clean text that keeps headings, lists, code blocks and formulas.
 
 Each page is read into a tree of branches (headings, lists, code, formulas, tables, quotes, block tags, environments,
-templates and links that stand alone) that span from their opening to their closing mark, with text blocks as leaves; marks
-within a line (links, emphasis, entities, references, commands) are part of the text block that holds them. The trees of all
-pages of one host are merged into a site style tree: per path of branches, how many pages have it and on how many of them
-each content occurs. The entropy of a content over the pages of its path tells how important it is: content that stands on
-nearly every page (notices, boxes of links) is presentation noise, content of its own is not. Branches of low importance are
-removed whole, the rest is rendered. Marks are no content and never removed by themselves; headings, lists, code, formulas,
-and the rows and cells of a table stand or fall with the branch around them. Paths on fewer than ``LEAST_PAGES`` pages of a
-host say too little for a judgement: there all branches stay.
+templates and links that stand alone) that span from their opening to their closing mark, with text blocks and marks within a line
+(links, emphasis, entities, references, commands) as leaves. The trees of all pages of one host are merged into a site style tree, whose
+nodes are paths of branches. What kinds of markup a page has is read off the nodes of the merged tree that it has a part in
+(:func:`found_kinds`).
+
+A node of the merged tree knows on how many pages it is, how often each content and each arrangement of branches occurs there.
+Entropies over these pages tell what matters: a content that stands on nearly every page (notices, boxes of links) has an entropy
+near 1 and an importance near 0, a content of its own an importance of 1; a node whose branches are arranged the same way
+everywhere is mere presentation, one that differs from page to page is not. The importance of a branch of a page is worked out from
+its leaves upwards: that of a leaf is the importance of its content, that of an inner branch with l parts is (1 - g^l) of the
+entropy of its arrangements and g^l of the mean importance of its parts, with g = ``DAMPING``. Branches of low importance are
+removed whole, the rest is rendered. Marks and entities are never removed by themselves; headings, lists, code, formulas,
+and the rows and cells of a table stand or fall with the branch around them. Nodes on fewer than ``LEAST_PAGES`` pages of a
+host say too little for a judgement: what they hold is important.
 
 Defined results: null texts stay null, empty texts empty; unclosed markup ends with its line (code fences with the text);
 what is written in nowiki tags is plain text; signs in prose that no language reads as markup are left; texts are read
-whole; repeated rows are cleaned once per row and count once in the tree; without a host column all pages are one host;
+whole; repeated rows are cleaned once per row and count once in the tree; without a host column all pages are one host, and so are those without a host;
 empty tables give empty tables; further columns are ignored.
 """
 
@@ -30,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.runtime import cut
+from tesselark.runtime import broadcast_if_small, cut
 
 HEADING, LIST, CODE, FORMULA, OTHER = "heading", "list", "code", "formula", "other"
 TEXT = "text"
 #: Importance below which a branch is noise, and the fewest pages of a path from which that can be told.
 NOISE_BELOW, LEAST_PAGES = 0.3, 20
+#: How much the parts of a branch count against their arrangement.
+DAMPING = 0.9
 
 #: Tags that are markup; others are prose such as 'aged <18'.
 TAGS = frozenset(
@@ -223,6 +231,8 @@ class Branch:
     closing: int = 0
     content: bytes | None = None
     judged: bool = False
+    parent: int = -1
+    shape: bytes | None = None
 
 
 def _content(text: str) -> bytes | None:
@@ -404,8 +414,12 @@ def tree(text: str) -> list[Branch]:
                 at = max(at, behind)
         walk += [(c, b) for c in reversed(sorted([*inner, *leaves], key=lambda c: c.start))]
         children[id(b)] = inner + leaves
-    for b, _ in reversed(out):  # what holds branches has the contents of these
+    number = {id(b): i for i, (b, _) in enumerate(out)}
+    for b, parent in reversed(out):  # what holds branches has the contents of these
+        b.parent = number.get(id(parent), -1)
         if b.holds:
+            steps = [c.path.rpartition(">")[2] for c in sorted(children[id(b)], key=lambda c: c.start)]
+            b.shape = blake2b("|".join(steps).encode(), digest_size=8).digest()
             parts = [c.content for c in sorted(children[id(b)], key=lambda c: c.start) if c.content]
             b.content = blake2b(b"".join(parts), digest_size=12).digest() if parts else None
         else:
@@ -414,13 +428,11 @@ def tree(text: str) -> list[Branch]:
     return [b for b, _ in out]
 
 
-_TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
-_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
+_PAIRS = re.compile(r"\{\{|\}\}|\[\[|\]\]")
 _DROPPED = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>|<(script|style|references|gallery|imagemap)\b[^<>]*>.*?</\1\s*>|<references\s*/>", re.S | re.I)
 
 
-def _link_text(m: re.Match) -> str:
-    inner = m[1]
+def _link_text(inner: str) -> str:
     target, _, label = inner.partition("|")
     if re.match(r"\s*(?:File|Image)\s*:", target, re.I):
         last = inner.split("|")[-1]
@@ -430,8 +442,8 @@ def _link_text(m: re.Match) -> str:
     return (label or target).strip()
 
 
-def _template_text(m: re.Match) -> str:
-    name, *rest = m[1].split("|")
+def _template_text(inner: str) -> str:
+    name, *rest = inner.split("|")
     named = name.strip().lower()
     if named in ("quote", "blockquote"):
         return next((x.partition("=")[2] if x.strip().startswith("text") and "=" in x else x for x in rest), "")
@@ -440,6 +452,45 @@ def _template_text(m: re.Match) -> str:
     return ""
 
 
+def _unwrap(text: str) -> str:
+    """Templates and links by what they show, from the innermost outwards in one pass. What is left open ends
+    with its line: of a template its arguments go, of a link the target before its bar, and else the mark alone; closing marks that nothing opened stay."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    opened = {"{{": 0, "[[": 0}
+    at = 0
+
+    def drop() -> None:
+        mark, parts = stack.pop()
+        opened[mark] -= 1
+        line, end, rest = "".join(parts).partition("\n")
+        if mark == "{{":
+            line = "" if "|" in line else line  # arguments go, prose stays
+        else:
+            line = re.sub(r"^[^|]*\|", "", line)
+        stack[-1][1].append(line + end + rest)
+
+    for m in _PAIRS.finditer(text):
+        stack[-1][1].append(text[at : m.start()])
+        at = m.end()
+        if m[0] in opened:
+            stack.append((m[0], []))
+            opened[m[0]] += 1
+            continue
+        mark, show = ("{{", _template_text) if m[0] == "}}" else ("[[", _link_text)
+        if not opened[mark]:
+            stack[-1][1].append(m[0])
+            continue
+        while stack[-1][0] != mark:
+            drop()
+        inner = "".join(stack.pop()[1])
+        opened[mark] -= 1
+        stack[-1][1].append(show(inner))
+    stack[-1][1].append(text[at:])
+    while len(stack) > 1:
+        drop()
+    return "".join(stack[0][1])
+
+
 def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     """Clean text. Headings become ``#`` lines, items ``-`` or numbered lines, code fenced blocks, formulas ``$`` spans.
     ``removed`` are the numbers of branches (of :func:`tree`) that are noise."""
@@ -457,6 +508,10 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
         kept.append(piece)
         return f"\ue002{len(kept) - 1}\ue003"
 
+    def heading(level: int, title: str) -> str:
+        """A heading; its mark is held, so that no rule of lists takes it for an item."""
+        return f"{hold('#' * level)} {title}"
+
     parts, at = [], 0
     for start, end, path, inner in opaque:
         if start < at:
@@ -477,18 +532,13 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     parts.append(plain[at:])
     body = _DROPPED.sub("", "".join(parts))
     body = re.sub(r"^[ \t:]*\{\|[^\n]*\n(.*?)^[ \t]*\|\}[^\n]*$", lambda m: "\n".join(" | ".join(c.strip() for c in re.split(r"\|\||!!", r.lstrip("|!").strip())) for r in m[1].split("\n") if r.strip() and not r.startswith("|-") and not r.startswith("|+")), body, flags=re.S | re.M)
-    for _ in range(4):
-        body, n = _TEMPLATE.subn(_template_text, body)
-        body, k = _LINK.subn(_link_text, body)
-        if not n + k:
-            break
-    body = re.sub(r"\{\{[^\n{}]*|\[\[(?:[^\n\[\]|]*\|)?", "", body)
+    body = _unwrap(body)
     body = re.sub(r"!\[([^\]\n]*)\]\([^)\n]+\)|(?<!!)\[([^\]\n]+)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", lambda m: m[1] or m[2] or "", body)
     body = re.sub(r"\[(?:https?:|ftp:)?//[^\s\]]+(?:[ \t]([^\]\n]*))?\]", lambda m: m[1] or "", body)
-    body = _WIKI_HEADING.sub(lambda m: f"{'#' * len(m[1])} {m[2]}", body)
-    body = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", lambda m: f"\n{'#' * int(m[1])} {m[2].strip()}\n", body, flags=re.S | re.I)
-    body = re.sub(rf"\\({_HEAD_COMMANDS})\*?\s*\{{([^{{}}\n]*)\}}", lambda m: f"\n{'#' * (2 + m[1].count('sub'))} {m[2]}\n", body)
-    body = re.sub(r"^([^\n]*\S[^\n]*)\n[ ]{0,3}(={3,}|-{3,})[ \t]*$", lambda m: f"{'#' if '=' in m[2] else '##'} {m[1].strip()}", body, flags=re.M)
+    body = _WIKI_HEADING.sub(lambda m: heading(len(m[1]), m[2]), body)
+    body = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", lambda m: f"\n{heading(int(m[1]), ' '.join(m[2].split()))}\n", body, flags=re.S | re.I)
+    body = re.sub(rf"\\({_HEAD_COMMANDS})\*?\s*\{{([^{{}}\n]*)\}}", lambda m: f"\n{heading(2 + m[1].count('sub'), m[2])}\n", body)
+    body = re.sub(r"^([^\n]*\S[^\n]*)\n[ ]{0,3}(={3,}|-{3,})[ \t]*$", lambda m: heading(1 if "=" in m[2] else 2, m[1].strip()), body, flags=re.M)
     body = re.sub(rf"\\(?:begin|end)\{{{_LIST_ENV}\*?\}}", "", body)
     body = re.sub(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*", "- ", body)
     body = re.sub(r"[ \t]*<li\b[^<>]*>[ \t]*", "\n- ", body, flags=re.I)
@@ -521,58 +571,126 @@ def render(text: str, removed: frozenset[int] = frozenset()) -> str:
     return re.sub(r"\n{3,}", "\n\n", body).strip("\n")
 
 
+def kept_text(text: str, contents: dict[int, float], shapes: dict[int, float]) -> frozenset[int]:
+    """The numbers of the branches of a page that are noise, by the importance of their contents and the entropy of their
+    arrangements (those that are not given have 1)."""
+    branches = tree(text)
+    parts: list[list[float]] = [[] for _ in branches]
+    noise = []
+    for n in range(len(branches) - 1, -1, -1):  # parents come before what they hold
+        b = branches[n]
+        if parts[n]:
+            damped = DAMPING ** len(parts[n])
+            importance = (1 - damped) * shapes.get(n, 1.0) + damped * sum(parts[n]) / len(parts[n])
+        else:
+            importance = contents.get(n, 1.0)
+        if b.content is not None and b.parent >= 0:
+            parts[b.parent].append(importance)
+        if b.judged and importance < NOISE_BELOW:
+            noise.append(n)
+    return frozenset(noise)
+
+
+def _rows(pages: DataFrame, key: str, text: str, host: str | None) -> DataFrame:
+    return pages.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("page"), F.coalesce(F.col(host) if host else F.lit(None), F.lit("")).alias("host"), F.col(text).alias("text"))
+
+
 def dom_nodes(pages: DataFrame, key: str = "id", text: str = "text", host: str | None = None) -> DataFrame:
-    """``id, page, host, node, markup_kind, path, content, judged``: the branches of each page text that have words;
-    ``content`` is a hash of these, ``node`` the number in :func:`tree`. Texts themselves do not leave their task."""
+    """``page, host, node, path, content, shape``: the branches of each page text that have words; ``content`` is a hash of
+    these, ``shape`` one of the arrangement of its parts (if it holds any), ``node`` the number in :func:`tree`. Texts themselves do not
+    leave their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
-            for i, page, h, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            columns: list[list] = [[] for _ in range(6)]
+            for page, h, t in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
                 for n, b in enumerate(tree(t.replace("\r\n", "\n")) if t else ()):
                     if b.content is not None:
-                        for column, value in zip(columns, (i, page, h, n, b.kind, b.path, b.content, b.judged), strict=True):
+                        for column, value in zip(columns, (page, h, n, b.path, b.content, b.shape), strict=True):
                             column.append(value)
-            kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["id", "page", "host", "node", "markup_kind", "path", "content", "judged"])
+            types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["page", "host", "node", "path", "content", "shape"])
 
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("page"), (F.col(host) if host else F.lit("")).alias("host"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, page long, host string, node int, markup_kind string, path string, content binary, judged boolean")
+    return _rows(pages, key, text, host).mapInArrow(run, "page long, host string, node int, path string, content binary, shape binary")
 
 
-def style_tree(nodes: DataFrame) -> DataFrame:
-    """``host, path, content, pages, of_pages, importance``: the merged style tree. Importance is one less the entropy of
-    a content over the pages that have its path, with the number of these pages as the base."""
-    once = nodes.select("host", "path", "content", "page").distinct()
-    contents = once.groupBy("host", "path", "content").agg(F.count("*").alias("pages"))
-    paths = once.groupBy("host", "path").agg(F.countDistinct("page").alias("of_pages"))
+def style_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged style tree of each host. ``host, path, content, pages, of_pages, importance``: a content's importance is one
+    less its entropy over the pages of its path, with their number as the base. ``host, path, of_pages, entropy``: how much the
+    arrangements of a path differ over its pages (1 if each page has its own, 0 if all have the same)."""
+    paths = nodes.groupBy("host", "path").agg(F.countDistinct("page").alias("of_pages"))
+    contents = nodes.select("host", "path", "content", "page").distinct().groupBy("host", "path", "content").agg(F.count("*").alias("pages"))
     rows = contents.join(paths, ["host", "path"])
-    return rows.withColumn("importance", 1 - F.when(F.col("of_pages") > 1, F.ln("pages") / F.ln("of_pages")).otherwise(0.0))
+    base = F.when(F.col("of_pages") > 1, F.ln("of_pages"))
+    contents = rows.withColumn("importance", 1 - F.coalesce(F.ln("pages") / base, F.lit(0.0)))
+    shapes = nodes.where("shape is not null").groupBy("host", "path", "shape").agg(F.count("*").alias("n"))
+    whole = shapes.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    # -sum p log p of n_i of N is log N - (sum n_i log n_i) / N
+    entropy = F.when(F.col("all") > 1, (F.ln("all") - F.col("s") / F.col("all")) / F.ln("all")).otherwise(1.0)
+    shapes = whole.join(paths, ["host", "path"]).select("host", "path", "of_pages", entropy.alias("entropy"))
+    return contents, shapes
 
 
 def clean_pages(pages: DataFrame, key: str = "id", text: str = "text", host: str | None = None) -> DataFrame:
     """``id, text``: the pages in clean text, without branches of low importance."""
-    nodes = cut(dom_nodes(pages, key, text, host).where("judged").select("page", "host", "node", "path", "content"), "branches")
-    noise = style_tree(nodes).where((F.col("importance") < NOISE_BELOW) & (F.col("of_pages") >= LEAST_PAGES)).select("host", "path", "content")
-    removed = nodes.join(noise, ["host", "path", "content"], "left_semi")
-    removed = removed.groupBy("page").agg(F.collect_set("node").alias("removed"))  # as many as the page has nodes
-    rows = pages.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("page"), F.col(text).alias("text")).join(removed, "page", "left")
+    nodes = cut(dom_nodes(pages, key, text, host), "branches")
+    contents, shapes = style_tree(nodes)
+    told = F.col("of_pages") >= LEAST_PAGES
+    common = contents.where(told & (F.col("pages") > 1)).select("host", "path", "content", "importance")
+    by_content = nodes.where("shape is null").join(common, ["host", "path", "content"]).select("page", "node", F.col("importance").alias("value"), F.lit(True).alias("leaf"))
+    alike = broadcast_if_small(cut(shapes.where(told & (F.col("entropy") < 1)).select("host", "path", "entropy"), "shapes"))
+    by_shape = nodes.where("shape is not null").join(alike, ["host", "path"]).select("page", "node", F.col("entropy").alias("value"), F.lit(False).alias("leaf"))
+    # as many as the page has branches; without a common content a page has no noise
+    judged = by_content.unionByName(by_shape).groupBy("page").agg(F.collect_set(F.struct("leaf", "node", "value")).alias("told")).where(F.exists("told", lambda x: x["leaf"]))
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.xxhash64(key, text).alias("page"), F.col(text).alias("text")).join(judged, "page", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [render(t, frozenset(r or ())) if t else t for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts = []
+            for t, told in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if t:
+                    t = t.replace("\r\n", "\n")
+                    contents, shapes = ({x["node"]: x["value"] for x in told or () if x["leaf"] == leaf} for leaf in (True, False))
+                    t = render(t, kept_text(t, contents, shapes) if contents else frozenset())
+                texts.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.select(F.col("id").cast("long").alias("id"), "text", "removed").mapInArrow(run, "id long, text string")
+    return rows.select("id", "text", "told").mapInArrow(run, "id long, text string")
+
 
+def marked_paths(text: str) -> set[str]:
+    """The paths of all marks of a page: the branches around a mark, then its kind and what it is."""
+    nodes = sorted(read(text)[0], key=lambda n: n.start)
+    if not nodes:
+        return set()
+    around = [b for b in tree(text) if b.kind != TEXT]  # parents first, in the order of the text
+    out, stack, k = set(), [], 0
+    for n in nodes:
+        while k < len(around) and around[k].start <= n.start:
+            while stack and stack[-1].end <= around[k].start:
+                stack.pop()
+            stack.append(around[k])
+            k += 1
+        while stack and stack[-1].end <= n.start:
+            stack.pop()
+        inner = next((b for b in reversed(stack) if b.end >= n.end and (b.start, b.end) != (n.start, n.end)), None)
+        out.add(f"{inner.path if inner else ''}>{n.kind}:{n.path}")
+    return out
 
-def found_kinds(pages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``id, markup_kind``: the kinds of markup in each page, of any importance."""
+
+def found_kinds(pages: DataFrame, key: str = "id", text: str = "text", host: str | None = None) -> DataFrame:
+    """``id, markup_kind``: the kinds of markup in each page, of any importance, read off the nodes of the merged style tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k in sorted(kinds(t.replace("\r\n", "\n")))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], names=["id", "markup_kind"])
-
-    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, markup_kind string").distinct()
+            rows: list[tuple] = []
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                rows += [(i, h, path) for path in sorted(marked_paths(t.replace("\r\n", "\n")) if t else ())]
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "host", "path"])
+
+    marks = cut(_rows(pages, key, text, host).where("id is not null").mapInArrow(run, "id long, host string, path string"), "marks")
+    merged = marks.groupBy("host", "path").agg(F.count("*").alias("pages"))
+    step = F.element_at(F.split("path", ">"), -1)
+    nodes = broadcast_if_small(cut(merged.select("host", "path", F.substring_index(step, ":", 1).alias("markup_kind")), "style"))
+    return marks.join(nodes, ["host", "path"]).select("id", "markup_kind").distinct()

@@ -1,3 +1,6 @@
+import math
+import time
+
 import pytest
 
 from tesselark.llm import markup
@@ -46,8 +49,57 @@ def test_style_tree_removes_what_stands_on_every_page(spark):
     df = spark.createDataFrame([*data, (900, None, "h0", "p"), (901, "", "h0", "p"), (902, notice, None, "p"), data[3]], "id long, text string, host string, page string")
     got = {r.id: r.text for r in markup.clean_pages(df, host="host").collect()}
     assert got[5] == "Page 5 has words of its own.\n\na quote of page 5" and got[900] is None and got[901] == ""
-    tree = {(r.host, r.path, r.pages): r.importance for r in markup.style_tree(markup.dom_nodes(df, host="host")).where("path = 'quote'").collect()}
+    contents, shapes = markup.style_tree(markup.dom_nodes(df, host="host"))
+    tree = {(r.host, r.path, r.pages): r.importance for r in contents.where("path = 'quote'").collect()}
     assert tree["h0", "quote", 40] == 0.0 and tree["h0", "quote", 1] == 1.0
+    assert {(r.host, r.path): r.entropy for r in shapes.where("host = ''").collect()} == {("", "tag/div"): 1.0}
+
+
+def test_entropy_of_arrangements_and_importance_from_the_leaves_upwards(spark):
+    """Boxes arranged alike everywhere whose parts are the same go; with parts of their own, or other arrangements, they stay."""
+    same, own = "<div><p>Home</p><p>Imprint</p></div>", "<div><p>Alpha {i}</p><p>Beta {i}</p></div>"
+    data = [(i, f"Text {i}.\n\n{same}\n\n" + f"<section>{'<p>Menu</p>' * (i % 4 + 1)}<p>own {i}</p></section>\n\n" + own.format(i=i).replace("div", "main")) for i in range(64)]
+    df = spark.createDataFrame(data, "id long, text string")
+    contents, shapes = markup.style_tree(markup.dom_nodes(df))
+    entropy = {r.path: r.entropy for r in shapes.collect()}
+    assert entropy["tag/div"] == 0.0 and entropy["tag/main"] == 0.0
+    assert abs(entropy["tag/section"] - math.log(4) / math.log(64)) < 1e-9
+    got = {r.id: r.text for r in markup.clean_pages(df).collect()}
+    assert got[5] == "Text 5.\n\nown 5\n\nAlpha 5\nBeta 5"
+    text = data[5][1]
+    numbers = {b.path: n for n, b in enumerate(markup.tree(text))}
+    assert markup.kept_text(text, {}, {}) == frozenset() and markup.kept_text(text, {numbers["tag/div>tag/p>text"]: 0.0}, {}) >= {numbers["tag/div>tag/p>text"]}
+
+
+def test_line_ends_of_windows_do_not_matter(spark):
+    page = "Text {i} here.\n\n<b>menu</b> x\n\n> Shared notice\n\n== A ==\nmore {i}"
+    data = [(i, page.format(i=i).replace("\n", "\r\n" if i % 2 else "\n")) for i in range(40)]
+    df = spark.createDataFrame(data, "id long, text string")
+    assert {r.id: r.text for r in markup.clean_pages(df).collect()} == {i: f"Text {i} here.\n\n## A\nmore {i}" for i in range(40)}
+
+
+def test_any_depth_and_open_marks():
+    deep = "x " + "{{quote|" * 500 + "deep" + "}}" * 500 + " y"
+    assert markup.render(deep) == "x deep y"
+    assert markup.render("x {{a|{{b|{{c|{{d|{{e|{{f|deep}}}}}}}}}}}} y") == "x  y"
+    assert markup.render("[[a|[[b|[[c|[[d|[[e|inner]]]]]]]]]]") == "inner"
+    assert markup.render("{{unclosed [[Foo]] rest of sentence\nnext") == "unclosed Foo rest of sentence\nnext"
+    assert markup.render("a {{cite|x=1\nnext") == "a \nnext".replace(" \n", "\n") and markup.render("a [[b|c\nnext") == "a c\nnext"
+    assert markup.render("}} and ]] stay") == "}} and ]] stay"
+    start = time.perf_counter()
+    markup.render("{{a|" * 100_000)
+    assert time.perf_counter() - start < 30
+
+
+def test_headings_side_by_side_are_no_list():
+    assert markup.render("# a\n# b\n== H ==\ntext") == "1. a\n1. b\n## H\ntext"
+    assert markup.render("== A ==\n=== B ===\ntext") == "## A\n### B\ntext"
+    assert markup.render("<h1>A</h1>\n<h2>B</h2>") == "# A\n\n## B"
+
+
+def test_marks_are_nodes_of_the_tree():
+    text = "<div>a [[b]]\n\n* c\n\n</div>\n\n$x$ and &amp;"
+    assert markup.marked_paths(text) == {"tag/div>other:tag/div", "tag/div>other:link", "tag/div>list:list/item", ">formula:formula", ">other:entity"}
 
 
 def test_marks_that_stand_on_every_page_stay_whole(spark):
