@@ -30,13 +30,13 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_statements(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of statements, down to the main snak."""
-    rows = nested.entity_children(table(spark, d, "raw_entities")).where("child = 'claim'")
+    rows = nested.entity_children(table(spark, d, "raw_entities"), ("claim",))
     return rows.select("line_no", "child_key", "pos", *(F.col("fields")[x].alias(x) for x in ("property", "value", "rank")))
 
 
 def p5_sitelinks(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of sitelinks."""
-    rows = nested.entity_children(table(spark, d, "raw_entities")).where("child = 'sitelink'")
+    rows = nested.entity_children(table(spark, d, "raw_entities"), ("sitelink",))
     return rows.select("line_no", "child_key", *(F.col("fields")[x].alias(x) for x in ("site", "title", "url")))
 
 
