@@ -10,8 +10,9 @@ positions, and overlapping ones are merged into spans. An exact comparison of th
 Defined results: words are runs of letters and digits, compared without case; punctuation, spacing and invisible
 characters do not matter; null, empty and short texts and items leak nothing; texts are searched whole, whatever their
 length; repeated rows give their pairs once; an empty table on either side gives no rows; further columns are ignored.
-The items are a held-out test set whose size is checked (``MAX_ITEMS``) before it is broadcast; the corpus is never
-moved: each shard is read once and nothing of it is shuffled but the pairs found.
+The items are made into windows on the driver once and broadcast, at most ``MAX_CHARS`` characters of them at a time by a checked size:
+more items are searched in several parts, each with a pass of its own. The corpus is never moved: nothing of it is
+shuffled but the pairs found.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tesselark.llm.bytecols import chunks, class_of_bytes, expand_runs, text_bytes
-from tesselark.runtime import bounded_collect
 
 #: Consecutive words that make a leak.
 WINDOW = 12
-#: Test items are held by every worker.
-MAX_ITEMS = 100_000
+#: Characters of test items that every worker holds at a time (of a larger item alone, that item).
+MAX_CHARS = 64_000_000
 #: Words of one FM-index.
 SHARD_WORDS = 1 << 20
 #: Every so many positions of the text are sampled in the suffix order.
@@ -63,6 +64,10 @@ class Words:
         self.power = np.ones(1, np.uint64)
         self.unpower = np.ones(1, np.uint64)
 
+    def forget(self) -> None:
+        """Drop the powers, which are made again as they are needed."""
+        self.power = self.unpower = np.ones(1, np.uint64)
+
     def _powers(self, n: int) -> None:
         while len(self.power) < n:
             with np.errstate(over="ignore"):  # arithmetic modulo 2**64
@@ -214,30 +219,24 @@ class FmIndex:
 
 
 class Items:
-    """The evaluation items as windows of word numbers."""
+    """The evaluation items as windows of word numbers. Made on the driver; what a worker needs of it is arrays."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
         self.window, self.words = window, Words()
-        texts = pa.array([t for _, t in items], pa.string())
-        data, offsets = folded_bytes(texts)
+        data, offsets = folded_bytes(pa.array([t for _, t in items], pa.string()))
         s, _, h = self.words.split(data, offsets)
+        self.words.forget()
         self.hashes = np.unique(h)
-        number = np.searchsorted(self.hashes, h) + 1
-        ends = np.searchsorted(s, offsets)
-        seen: dict[bytes, int] = {}
-        rows, owner = [], []
-        for (item, _), a, b in zip(items, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            for i in range(a, b - window + 1):
-                w = number[i : i + window]
-                j = seen.setdefault(w.tobytes(), len(seen))
-                if j == len(rows):
-                    rows.append(w)
-                owner.append((j, item))
-        self.windows = np.array(rows, np.int64).reshape(len(rows), window)
-        pairs = sorted(set(owner))
-        self.owner_window = np.array([p[0] for p in pairs], np.int64)
-        self.owner_item = np.array([p[1] for p in pairs], np.int64)
-        self.phrases = {i: t for i, t in ((item, plain(t)) for item, t in items if t)}
+        number = (np.searchsorted(self.hashes, h) + 1).astype(np.int32)
+        owner = np.repeat(np.arange(len(items)), np.diff(np.searchsorted(s, offsets)))
+        first = np.flatnonzero(owner[window - 1 :] == owner[: len(owner) - window + 1]) if len(owner) >= window else np.zeros(0, np.int64)
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(number, window)[first]) if len(first) else np.zeros((0, window), np.int32)
+        key, one, back = np.unique(rows.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True) if len(rows) else (rows, first, first)
+        self.windows = rows[one].astype(np.int64)
+        ids = np.array([i for i, _ in items], np.int64)
+        pairs = np.unique(np.stack([back, ids[owner[first]]], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+        self.owner_window, self.owner_item = pairs[:, 0], pairs[:, 1]
+        self.phrases = {i: t for i, t in items if t}
         # a table of the low bits of the hashes answers most words that no item has
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -294,13 +293,24 @@ def _words(text: str) -> list[str]:
 
 def leaked_spans(documents: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """``doc_id, item_id, first_word, last_word``: the merged spans of each document that an item shares, in words."""
-    rows = bounded_collect(items.select("item_id", "text").where("item_id is not null"), MAX_ITEMS, "the table of evaluation items")
-    shared = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    known = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-size // MAX_CHARS))
+    out = None
+    for part in range(parts):
+        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()  # about MAX_CHARS characters
+        found = _spans_of_part(documents, Items(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), window), key)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _spans_of_part(documents: DataFrame, items: Items, key: str) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(items)
+    window = items.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = None
+        found, plain_items = shared.value, {}
         for batch in batches:
-            found = found or Items(shared.value, window)
             keys, texts = batch.column(0), batch.column(1)
             for text, hit, at in found.find(texts):
                 low = np.searchsorted(found.owner_window, hit, "left")
@@ -317,11 +327,12 @@ def leaked_spans(documents: DataFrame, items: DataFrame, window: int = WINDOW, k
                 keep = np.zeros(len(text), bool)
                 words_of: dict[int, list[str]] = {}
                 for i in range(len(text)):  # the exact check: only texts with a hit are compared as strings
-                    t = int(text[i])
+                    t, j = int(text[i]), int(item[i])
                     if t not in words_of:
                         words_of[t] = _words(plain(texts[t].as_py()))
-                    run_of = " ".join(words_of[t][start[i] : start[i] + window])
-                    keep[i] = f" {run_of} " in f" {' '.join(_words(found.phrases[int(item[i])]))} "
+                    if j not in plain_items:
+                        plain_items[j] = f" {' '.join(_words(plain(found.phrases[j])))} "
+                    keep[i] = f" {' '.join(words_of[t][start[i] : start[i] + window])} " in plain_items[j]
                 if keep.any():
                     yield pa.RecordBatch.from_arrays(
                         [keys.take(pa.array(text[keep])), pa.array(item[keep], pa.int64()), pa.array(start[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32))],

@@ -86,3 +86,13 @@ def test_folding_without_python_strings():
     data, offsets = leaks.folded_bytes(pa.array(texts))
     got = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     assert got == [leaks.plain(t) if t else "" for t in texts]
+
+
+def test_more_items_than_a_worker_holds(spark, monkeypatch):
+    """Items in several parts give the same pairs."""
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 20])) for i in range(38)] + [(99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + " ".join(words[7 * i : 7 * i + 40]) + " y") for i in range(50)] + [(77, None)], "doc_id long, text string")
+    whole = rows(leaks.leaks(docs, items))
+    monkeypatch.setattr(leaks, "MAX_CHARS", 500)
+    assert rows(leaks.leaks(docs, items)) == whole and len(whole) > 100
