@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselark.operators.graph import reachable
-from tesselark.runtime import broadcast_if_small
+from tesselark.runtime import Latest, broadcast_if_small, bucketed, cut, shuffle_partitions
 
 #: Smoothing of every count, and the first word number that says something.
 BASE_COUNT, FIRST_WORD, CLASSES = 5, 55, 20
@@ -56,13 +55,49 @@ def classify_bayes(bags: DataFrame, model: DataFrame, classes: int = CLASSES) ->
 
 
 def ancestor_classes(parents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, classes``: the classes of each page itself and of all categories above it, as a sorted array. Circles do no
-    harm: the closure is a set."""
-    above = reachable(parents.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
-    own = parents.select("id").distinct().select("id", F.col("id").alias("up"))
-    pairs = above.select(F.col("src").alias("id"), F.col("dst").alias("up")).unionByName(own).distinct()
-    rows = pairs.join(labels.select(F.col("id").alias("up"), "classification").distinct(), "up")
-    return rows.groupBy("id").agg(F.array_sort(F.collect_set("classification")).alias("classes"))  # at most as many as classes
+    """``id, classes``: the classes of each page itself and of all categories above it, as a sorted array. Classes are bits of
+    numbers that go down from parents to children, as long as they bring a child something new: as many rounds as the
+    hierarchy is deep, in each of which only what is new moves. Circles do no harm."""
+    names = sorted(r[0] for r in labels.where("classification is not null").select("classification").distinct().collect())  # one row per class
+    if not names:
+        return parents.sparkSession.createDataFrame([], f"id {parents.schema['id'].dataType.simpleString()}, classes array<int>")
+    at = F.array_position(F.array(*(F.lit(c) for c in names)), F.col("classification")).cast("int") - 1
+    width = -(-len(names) // _BITS)
+    masks = [f"m{k}" for k in range(width)]
+    bits = [F.bit_or(F.when(F.floor(at / _BITS) == k, F.expr(f"shiftleft(1L, cast(pmod({_place(names)}, {_BITS}) as int))")).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(masks)]
+    buckets = shuffle_partitions(parents.sparkSession)
+    links = bucketed(parents.where("id is not null and parent is not null").select("id", "parent").distinct(), "parent", buckets, label="parents")
+    own = labels.where("classification is not null").groupBy("id").agg(*bits)
+    nodes = links.select("id").unionByName(links.select(F.col("parent").alias("id"))).distinct()
+    state = Latest(nodes.join(own, "id", "left").select("id", *(F.coalesce(m, F.lit(0).cast("long")).alias(m) for m in masks), F.lit(True).alias("new")), "masks")
+    while not state.df.where("new").isEmpty():
+        sent = state.df.where("new").select(F.col("id").alias("parent"), *masks)
+        got = links.join(sent, "parent").groupBy("id").agg(*(F.bit_or(m).alias(f"{m}_got") for m in masks))
+        merged = [F.col(m).bitwiseOR(F.coalesce(f"{m}_got", F.lit(0).cast("long"))) for m in masks]
+        grown = F.lit(False)
+        for m, new in zip(masks, merged, strict=True):
+            grown = grown | (new != F.col(m))
+        state.replace(state.df.drop("new").join(got, "id", "left").select("id", *(x.alias(m) for m, x in zip(masks, merged, strict=True)), grown.alias("new")))
+    held = F.array_compact(F.array(*(F.when(F.col(masks[i // _BITS]).bitwiseAND(F.lit(1 << (i % _BITS))) != 0, F.lit(c)) for i, c in enumerate(names))))
+    rows = state.df.join(links.select("id").distinct(), "id", "left_semi").select("id", held.alias("classes"))
+    return rows.where("size(classes) > 0")
+
+
+#: Bits of a number that stand for classes.
+_BITS = 62
+
+
+def _place(names: list) -> str:
+    """The place of a class among all, as SQL."""
+    return f"(array_position(array({', '.join(map(str, names))}), classification) - 1)"
+
+
+def classified_titles(classified: DataFrame, titles: DataFrame) -> DataFrame:
+    """``id, title, classification``; a classified page without a title is an error."""
+    rows = cut(classified.where("id is not null").join(titles.select("id", "title"), "id", "left"), "classified")
+    if missing := rows.where("title is null").select("id").first():
+        raise KeyError(f"no title for the classified page {missing[0]}")
+    return rows.select("id", "title", "classification")
 
 
 def category_sets(page_categories: DataFrame) -> DataFrame:

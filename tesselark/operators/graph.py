@@ -1,23 +1,22 @@
 """Operators on link graphs: ranks, weights, distances, paths, degrees, reach.
 
 Graphs are ``src, dst`` rows. Parallel links are merged into a multiplicity before any loop, so that a loop moves each
-pair of nodes once. Ranks keep their weights partitioned by node; a step is one join on the source and one pre-aggregated
-shuffle on the target. Scalars such as the number of nodes or the mass of dead ends are one-row aggregates inside the
-plan. Loops cut their lineage with tables in the shared folder.
+pair of nodes once. Ranks keep links bucketed by their source and weights bucketed by node: no step moves a link, it moves
+weights to the links and pre-aggregated sums back. A source with more than ``HUB_LINKS`` links is split into pieces of that size, each
+with its part of the sums. Each step is written, so that the plan of a step does not grow with the steps before it; the mass of dead
+ends and the distance to the step before are read off the written table in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselark.runtime import Rounds, cut
+from tesselark.runtime import Rounds, broadcast_if_small, bucketed, cut, free, shuffle_partitions
 
 DAMPING, THRESHOLD, MAX_STEPS = 0.85, 1e-9, 100
-#: Steps between cuts of lineage where no convergence is tested.
-CUT_EVERY = 8
-#: Steps between tests of convergence, each of which cuts the lineage.
-TEST_EVERY = 4
+#: Links of a piece of a source.
+HUB_LINKS = 1_000_000
 
 
 def multiplicities(edges: DataFrame, distinct: bool = False, self_links: bool = True) -> DataFrame:
@@ -49,42 +48,50 @@ class _Walk:
     """The weights of a graph, step by step."""
 
     def __init__(self, links: DataFrame, nodes: DataFrame):
-        degree = links.groupBy("src").agg(F.sum("times").alias("degree"))
-        self.links = cut(links.join(degree, "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
-        dead = degree.select(F.col("src").alias("id"), F.lit(False).alias("dead"))
-        self.nodes = cut(nodes.select("id", *(c for c in nodes.columns if c != "id")).join(dead, "id", "left").withColumn("dead", F.coalesce("dead", F.lit(True))), "nodes")
+        self.buckets = shuffle_partitions(links.sparkSession)
+        degree = cut(links.groupBy("src").agg(F.sum("times").alias("degree"), F.count("*").alias("n")), "degree")
+        # at most one row per HUB_LINKS links
+        self.hubs = cut(degree.where(F.col("n") > HUB_LINKS).select("src", F.ceil(F.col("n") / HUB_LINKS).cast("int").alias("pieces")), "hubs")
+        self.split = not self.hubs.isEmpty()
+        piece = F.lit(0)
+        if self.split:
+            links = links.join(broadcast_if_small(self.hubs), "src", "left")
+            piece = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int")
+        self.links = bucketed(links.select(F.xxhash64("src", piece).alias("key"), "src", "dst", "times"), "key", self.buckets, label="links")
+        rows = nodes.join(degree.select(F.col("src").alias("id"), "degree"), "id", "left")
+        self.nodes = bucketed(rows, "id", self.buckets, label="nodes")
         self.count = self.nodes.count()
 
     def start(self, weight: Column) -> DataFrame:
-        return self.nodes.select("id", weight.cast("double").alias("w"))
-
-    def step(self, weights: DataFrame, damping: float, restart: Column, dead_ends: bool) -> DataFrame:
-        moved = self.links.join(weights.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("share")).alias("m"))
-        rows = self.nodes.join(moved, "id", "left")
-        new = damping * F.coalesce("m", F.lit(0.0)) + restart
-        if dead_ends:
-            lost = self.nodes.where("dead").join(weights, "id").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("lost"))  # one row
-            rows, new = rows.join(F.broadcast(lost)), new + damping * F.col("lost") / self.count
-        return rows.select("id", new.alias("w"))
-
-    def run(self, weights: DataFrame, step, steps: int | None, threshold: float, most: int, power: int = 1) -> DataFrame:
-        """``steps`` steps, or else until the distance between steps (L1 or L2 by ``power``) is under ``threshold``."""
-        if steps is not None:
-            for k in range(1, steps + 1):
-                weights = step(weights)
-                if k % CUT_EVERY == 0:
-                    weights = cut(weights, "weights")
-            return weights
-        done = 0
-        while done < most:
-            for _ in range(min(TEST_EVERY, most - done)):
-                before, weights, done = weights, step(weights), done + 1
-            both = cut(weights.join(before.withColumnRenamed("w", "old"), "id"), "weights")
-            moved = both.agg(F.sum(F.pow(F.abs(F.col("w") - F.col("old")), F.lit(power)))).first()[0] or 0.0
-            weights = both.select("id", "w")
-            if moved ** (1 / power) < threshold:
+        w = weight.cast("double")
+        return bucketed(self.nodes.select("id", w.alias("w"), w.alias("old"), "degree"), "id", self.buckets, label="weights", placed=True)
+
+    def step(self, weights: DataFrame, damping: float, restart: Column, lost: float) -> DataFrame:
+        """``id, w, old, degree`` after a step in which each node also gets its part of the ``lost`` weight of dead ends."""
+        sent = weights.where("degree > 0").select(F.col("id").alias("from"), (F.col("w") / F.col("degree")).alias("share"))
+        piece = F.lit(0)
+        if self.split:
+            sent = sent.join(broadcast_if_small(self.hubs.withColumnRenamed("src", "from")), "from", "left")
+            sent = sent.select("from", "share", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+            piece = F.col("piece")
+        moved = self.links.join(sent.withColumn("key", F.xxhash64("from", piece)), "key").where(F.col("src") == F.col("from"))
+        moved = moved.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("times")).alias("m"))
+        new = damping * F.coalesce("m", F.lit(0.0)) + restart + damping * lost / self.count
+        before = weights.select("id", F.col("w").alias("old"))
+        return self.nodes.join(moved, "id", "left").join(before, "id", "left").select("id", new.alias("w"), "old", "degree")
+
+    def run(self, weights: DataFrame, damping: float, restart: Column, dead_ends: bool, steps: int | None, threshold: float, most: int, power: int = 1) -> DataFrame:
+        """``steps`` steps, or else until the distance between two steps (L1 or L2 by ``power``) is under ``threshold``."""
+        read = (F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("w"))), F.lit(0.0)), F.coalesce(F.sum(F.pow(F.abs(F.col("w") - F.col("old")), F.lit(power))), F.lit(0.0)))
+        lost = weights.agg(*read).first()[0] if dead_ends and self.count else 0.0
+        for _ in range((steps if steps is not None else most) if self.count else 0):
+            new = bucketed(self.step(weights, damping, restart, lost), "id", self.buckets, label="weights", placed=True)
+            free(weights.scratch)
+            weights, (dead, moved) = new, new.agg(*read).first()
+            lost = dead if dead_ends else 0.0
+            if steps is None and moved ** (1 / power) < threshold:
                 break
-        return weights
+        return weights.select("id", "w")
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, steps: int | None = None, damping: float = DAMPING, chosen: Column | None = None) -> DataFrame:
@@ -94,22 +101,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, steps: int | None
     disjoint choices add up to the rank for their union."""
     walk = _Walk(multiplicities(edges), (nodes if nodes is not None else nodes_of(edges)).dropDuplicates(["id"]))
     on = F.lit(1.0) if chosen is None else F.when(F.coalesce(chosen, F.lit(False)), 1.0).otherwise(0.0)
-    weights = walk.run(walk.start(on), lambda w: walk.step(w, damping, (1 - damping) * on, True), steps, THRESHOLD * max(1, walk.count), MAX_STEPS)
+    weights = walk.run(walk.start(on), damping, (1 - damping) * on, True, steps, THRESHOLD * max(1, walk.count), MAX_STEPS)
     return weights.select("id", F.col("w").alias("pagerank"))
 
 
+def rank_report(ranks: DataFrame, titles: DataFrame, top: int = 100) -> DataFrame:
+    """``rank, id, title, pagerank``: the highest ranks, numbered from 1; equal ones by id. A page without a title keeps its number."""
+    best = ranks.orderBy(F.desc("pagerank"), "id").limit(top)  # at most ``top`` rows from here on
+    numbered = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pagerank"), "id")))
+    return numbered.join(titles.groupBy("id").agg(F.max("title").alias("title")), "id", "left").select("rank", "id", "title", "pagerank")
+
+
 def uniform_rank(edges: DataFrame, nodes: DataFrame | None = None, steps: int = 40, damping: float = 0.99) -> DataFrame:
     """``id, weight`` with a sum of 1: distinct links, none to oneself, a fixed number of steps."""
     walk = _Walk(multiplicities(edges, distinct=True, self_links=False), (nodes if nodes is not None else nodes_of(edges)).select("id").distinct())
     n = max(1, walk.count)
-    weights = walk.run(walk.start(F.lit(1.0 / n)), lambda w: walk.step(w, damping, F.lit((1 - damping) / n), True), steps, 0.0, steps)
+    weights = walk.run(walk.start(F.lit(1.0 / n)), damping, F.lit((1 - damping) / n), True, steps, 0.0, steps)
     return weights.select("id", F.col("w").alias("weight"))
 
 
 def markov(edges: DataFrame, threshold: float = 1e-6, most: int = 100, steps: int | None = None) -> DataFrame:
     """``id, weight``: stationary weights of a walk over distinct links, from 1 each; the mass of dead ends is lost."""
     walk = _Walk(multiplicities(edges, distinct=True), nodes_of(edges))
-    weights = walk.run(walk.start(F.lit(1.0)), lambda w: walk.step(w, 1.0, F.lit(0.0), False), steps, threshold, most, power=2)
+    weights = walk.run(walk.start(F.lit(1.0)), 1.0, F.lit(0.0), False, steps, threshold, most, power=2)
     return weights.select("id", F.col("w").alias("weight"))
 
 
@@ -154,6 +168,21 @@ def shortest_path(edges: DataFrame, start: int | str, end: int | str) -> list:
     return path[::-1]
 
 
+class DistanceCache:
+    """Distances from nodes that have been asked for, each kept as a written table of the nodes that it reaches."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "links")
+        self.known: dict[int | str, DataFrame] = {}
+
+    def distance(self, start: int | str, end: int | str) -> int | None:
+        """Links on a shortest path, 0 from a node to itself, none if there is no path."""
+        if start not in self.known:
+            self.known[start] = cut(distances(self.edges, start), "distances")
+        found = self.known[start].where(F.col("id") == F.lit(end)).first()
+        return found["steps"] if found else None
+
+
 def find_cycle(edges: DataFrame, start: int | str) -> list:
     return shortest_path(edges, start, start)
 

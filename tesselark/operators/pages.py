@@ -29,7 +29,11 @@ def clean(pages: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def view(pages: DataFrame, ids: list[int] | None = None, titles: list[str] | None = None) -> DataFrame:
-    """The pages asked for by id or title. A title that no page has is an error."""
+    """The pages asked for by id or title. An id or a title that no page has is an error."""
+    if ids:
+        have = {r[0] for r in pages.where(F.col("id").isin(list(ids))).select("id").distinct().collect()}  # as many as asked for
+        if missing := [i for i in ids if i not in have]:
+            raise KeyError(f"no page has the id {missing[0]!r}")
     wanted = list(titles or [])
     if wanted:
         known = {r[0] for r in pages.where(F.col("title").isin(wanted)).select("title").distinct().collect()}  # as many as asked for
@@ -138,6 +142,12 @@ def compare_titles(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``id, before, after``: the texts of pages that both corpora have and that differ between them."""
+    both = before.select("id", F.col("text").alias("before")).join(after.select("id", F.col("text").alias("after")), "id")
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
 def topic_title(title: Column) -> Column:
     """A title without its category prefix, in title case, but for of, in and the within it."""
     text = F.initcap(F.regexp_replace(title, "(?i)^category:", ""))

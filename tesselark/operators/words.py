@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselark.functions import nlp
-from tesselark.runtime import bounded_collect, broadcast_if_small, cut
+from tesselark.runtime import bounded_collect, broadcast_if_small, cut, shuffle_partitions
 
 #: An n-gram is kept if it occurs so often.
 NGRAM_COUNT = 40
@@ -44,16 +44,31 @@ def prefix_dictionary(table: DataFrame) -> DataFrame:
 
 
 def ordinals(table: DataFrame) -> DataFrame:
-    """``word, ordinal``: words numbered from 1 by descending count. Numbers come from one sorted sequence of words, which
-    has no page data in it; a word that occurs twice keeps its later number."""
-    from pyspark.sql import Window
-
-    rows = table.select("word", F.row_number().over(Window.orderBy(F.desc("count"), "word")).alias("ordinal"))
-    return rows.groupBy("word").agg(F.max("ordinal").alias("ordinal"))
-
-
-def word_bags(pages: DataFrame, tokens: Column, dictionary: DataFrame) -> DataFrame:
-    """``id, words``: the known words of each page, ``array<struct<word, count>>`` by word number."""
+    """``word, ordinal``: words numbered from 1 by descending count; a word that occurs twice keeps its later number. The
+    table is sorted in ranges and numbered within each; the sizes of the ranges before it (one number per range) are added."""
+    ranges = shuffle_partitions(table.sparkSession)
+    ordered = table.repartitionByRange(ranges, F.desc("count"), "word").sortWithinPartitions(F.desc("count"), "word")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = cut(ordered.select("word", F.spark_partition_id().alias("range"), within.alias("at")), "ordered")
+    sizes = {r["range"]: r["count"] for r in rows.groupBy("range").count().collect()}
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    offset = F.get(F.array(*(F.lit(x).cast("long") for x in before)), F.col("range")) if before else F.lit(0).cast("long")
+    return rows.groupBy("word").agg(F.max((offset + F.col("at") + 1).cast("int")).alias("ordinal"))
+
+
+def report_order(table: DataFrame) -> DataFrame:
+    """A table of n-grams in the order of its report: fewest words first, then counts descending, words ascending."""
+    return table.orderBy(F.size(F.split("word", " ")), F.desc("count"), "word")
+
+
+def word_bags(pages: DataFrame, tokens: Column, dictionary: DataFrame, by_line: bool = False) -> DataFrame:
+    """``id, words``: the known words of each page, ``array<struct<word, count>>`` by word number. ``tokens`` is an expression over
+    ``text``; ``by_line`` applies it to each line by itself, so that no n-gram reaches over the end of a line."""
+    if by_line:
+        pages = pages.select("id", F.explode(F.split("text", "\n")).alias("text"))
     rows = pages.select("id", F.explode(tokens).alias("word")).groupBy("id", "word").agg(F.count("*").alias("count"))
     known = broadcast_if_small(dictionary.select("word", F.col("ordinal").cast("long").alias("ordinal")))
     bags = rows.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("word"), "count"))).alias("words"))  # as many as a page has words

@@ -6,18 +6,24 @@ another and stop at the first error. Tables lie at ``workspace/corpus/<path>``."
 from __future__ import annotations
 
 import argparse
+import cProfile
+import contextlib
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.functions import nlp
 from tesselark.operators import entities, graph, pages, words
+from tesselark.runtime import cut
 from tesselark.sources import dumps, tables
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Job:
@@ -49,22 +55,33 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, workspace: str, name: str):
         self.spark, self.folder = spark, f"{workspace}/{name}"
+        #: Counters of what has been read and written, by table.
+        self.counters: dict[str, dict] = {}
 
     def read(self, path: str) -> DataFrame:
         return tables.read(self.spark, f"{self.folder}/{path}")
 
     def write(self, rows: DataFrame, path: str) -> DataFrame:
-        tables.write(rows, f"{self.folder}/{path}")
+        """Write a table and read it back; how many rows were written is counted on the way."""
+        seen = Observation()
+        tables.write(rows.observe(seen, F.count("*").alias("rows")), f"{self.folder}/{path}")
+        self.report(path, seen.get)
         return self.read(path)
 
+    def report(self, what: str, counters: dict) -> None:
+        self.counters.setdefault(what, {}).update(counters)
+        log.info("%s: %s", what, ", ".join(f"{v} {k}" for k, v in counters.items()))
+
 
 def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("id").alias("src"), F.explode("links").alias("dst"))
 
 
 def ingest(c: Corpus, s: dict, articles: str, index: str | None = None) -> DataFrame:
-    dump = dumps.read_dump(c.spark, articles)
     spaces = s.get("namespaces", [0])
+    if index is not None:
+        dumps.corpus_of(articles, index)  # of one dump
+    dump = cut(dumps.read_dump(c.spark, articles).where(F.col("ns").isin(list(spaces))), "dump")  # read and parsed once
     c.write(dumps.dump_redirects(dump, spaces), s.get("outRedirects", "redirects"))
     out = f"{c.folder}/{s.get('out', 'articles')}"
     tables.write_sharded(dumps.articles(dump, spaces), out)
@@ -87,8 +104,10 @@ def links(c: Corpus, s: dict) -> DataFrame:
 
 
 def ingest_wikidata(c: Corpus, s: dict, dump: str) -> DataFrame:
-    raw = dumps.read_entities(c.spark, dump)
-    return c.write(entities.parse_entities(raw, c.read(s["index"]), s["claims"], s.get("instanceOf", []), s.get("requireArticle", [])), s["out"])
+    raw, seen = dumps.read_entities_counted(c.spark, dump)
+    out = c.write(entities.parse_entities(raw, c.read(s["index"]), s["claims"], s.get("instanceOf", []), s.get("requireArticle", [])), s["out"])
+    c.report("ingest-wikidata", seen.get)
+    return out
 
 
 def gender_index(c: Corpus, s: dict) -> DataFrame:
@@ -100,7 +119,22 @@ def gender_frequency(c: Corpus, s: dict) -> DataFrame:
 
 
 def gender_comparison(c: Corpus, s: dict, after: Corpus | None = None) -> DataFrame:
-    return entities.link_comparison(_edges(c.read(s["links"])), c.read(s["genderIndex"]))
+    """Articles and links by gender; with ``articles`` the shares of sections instead; with a second corpus both, one beside the other."""
+
+    def one(corpus: Corpus) -> DataFrame:
+        index = corpus.read(s["genderIndex"])
+        if s.get("articles"):
+            rows = corpus.read(s["articles"])
+            found = pages.page_links(rows).select("id", F.trim("section").alias("section"))
+            return entities.section_shares(found, index, s.get("top", 20))
+        return entities.link_comparison(_edges(corpus.read(s["links"])), index)
+
+    if after is None:
+        return one(c)
+    keys = ["gender", "section"] if s.get("articles") else ["gender"]
+    values = ["links", "percent"] if s.get("articles") else ["linking", "linked"]
+    sides = [one(x).select(*keys, *(F.col(v).alias(f"{v}_{name}") for v in values)) for x, name in ((c, "before"), (after, "after"))]
+    return sides[0].join(sides[1], keys, "full")
 
 
 def pagerank(c: Corpus, s: dict) -> DataFrame:
@@ -108,7 +142,10 @@ def pagerank(c: Corpus, s: dict) -> DataFrame:
     if s.get("genderFilter"):
         nodes = nodes.join(c.read(s["genderIndex"]), "id", "left")
         chosen = F.col("gender") == s["genderFilter"]
-    return c.write(graph.pagerank(_edges(c.read(s["links"])), nodes, s.get("steps"), chosen=chosen), s["out"])
+    ranks = c.write(graph.pagerank(_edges(c.read(s["links"])), nodes, s.get("steps"), chosen=chosen), s["out"])
+    if s.get("outReport"):
+        c.write(graph.rank_report(ranks, c.read(s["index"]), s.get("top", 100)), s["outReport"])
+    return ranks
 
 
 def pagerank_compare(c: Corpus, s: dict, after: Corpus) -> DataFrame:
@@ -128,7 +165,8 @@ def ngrams(c: Corpus, s: dict) -> DataFrame:
     rows = c.read(s["in"])
     if s.get("subsample", 1.0) < 1.0:
         rows = rows.sample(s["subsample"], s.get("seed", 0))
-    return c.write(words.discover_ngrams(rows, nlp.words(nlp.normal_article(F.col("text"))), s.get("minCount", words.NGRAM_COUNT)), s["out"])
+    found = words.discover_ngrams(rows, nlp.words(nlp.normal_article(F.col("text"))), s.get("minCount", words.NGRAM_COUNT))
+    return words.report_order(c.write(found, s["out"]))
 
 
 def normalize(c: Corpus, s: dict) -> DataFrame:
@@ -155,7 +193,15 @@ def _classes(c: Corpus, s: dict) -> DataFrame:
 
 
 def reference_network(c: Corpus, s: dict) -> DataFrame:
-    return entities.class_matrix(_raw_edges(c, s), _classes(c, s), "non-biography")
+    """Links between classes; with ``outTotals`` also how many pages each class has, and how many links and pages without any there are."""
+    classes = _classes(c, s)
+    if s.get("outTotals"):
+        edges = _raw_edges(c, s)
+        degree = graph.out_degree(edges, c.read(s["in"]).select("id").distinct())
+        sizes = classes.groupBy("class").agg(F.count("*").alias("n")).select(F.concat(F.lit("class "), "class").alias("name"), "n")
+        totals = degree.agg(F.sum("degree").alias("links"), F.count_if(F.col("degree") == 0).alias("singletons"))
+        c.write(sizes.unionByName(totals.select(F.explode(F.create_map(F.lit("links"), "links", F.lit("singletons"), "singletons")).alias("name", "n"))), s["outTotals"])
+    return entities.class_matrix(_raw_edges(c, s), classes, "non-biography")
 
 
 def reference_network_2(c: Corpus, s: dict) -> DataFrame:
@@ -171,6 +217,29 @@ COMMANDS: dict[str, Callable] = {
 }
 #: Commands that take dump files instead of further corpora.
 FILE_COMMANDS = {"ingest", "ingest-wikidata"}
+#: Settings of each command; others are errors.
+SETTINGS: dict[str, set[str]] = {
+    "ingest": {"namespaces", "out", "outRedirects"}, "clean": {"in", "out"}, "title-index": {"in", "out"}, "links": {"in", "index", "redirects", "out", "ignoredSections", "ignoreCategories"},
+    "ingest-wikidata": {"index", "claims", "instanceOf", "requireArticle", "out"}, "gender-index": {"wikidata", "out"}, "gender-frequency": {"genderIndex", "in"},
+    "gender-comparison": {"links", "genderIndex", "articles", "top"}, "pagerank": {"index", "links", "genderIndex", "genderFilter", "steps", "out", "outReport", "top"},
+    "pagerank-compare": {"pageRanks", "genderIndex"}, "renamed-articles": {"index"}, "view": {"in", "ids", "titles"}, "ngrams": {"in", "out", "minCount", "subsample", "seed"},
+    "normalize": {"in", "out"}, "first-links": {"in", "first", "top"}, "reference-network": {"in", "genderIndex", "outTotals"}, "reference-network-2": {"in", "genderIndex"},
+}
+
+
+def command(name: str, settings: set[str] | None = None, files: bool = False) -> Callable[[Callable], Callable]:
+    """Add a command of one's own: a function of a corpus, its settings and further corpora (or ``files``), that reads, maps and writes
+    as it likes. Without ``settings`` any setting is allowed."""
+
+    def add(function: Callable) -> Callable:
+        COMMANDS[name] = function
+        if settings is not None:
+            SETTINGS[name] = set(settings)
+        if files:
+            FILE_COMMANDS.add(name)
+        return function
+
+    return add
 
 
 def run_job(spark: SparkSession, config: Config, name: str, workspace: str, *corpora: str, files: list[str] = ()) -> DataFrame:
@@ -179,6 +248,8 @@ def run_job(spark: SparkSession, config: Config, name: str, workspace: str, *cor
     job = config.jobs[name]
     if job.command not in COMMANDS:
         raise KeyError(f"no command is called {job.command!r}")
+    if wrong := sorted(set(job.settings) - SETTINGS.get(job.command, set(job.settings))):
+        raise KeyError(f"the job {name!r} has no setting {wrong[0]!r}")
     first, *rest = (Corpus(spark, workspace, c) for c in corpora)
     more = files if job.command in FILE_COMMANDS else rest
     return COMMANDS[job.command](first, job.settings, *more)
@@ -200,7 +271,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--workspace", default=".")
     p.add_argument("--file", action="append", default=[], help="dump file of an ingest job")
     p.add_argument("--parallel", type=int, help="cores to use")
+    p.add_argument("--profile", help="file for a profile of the driver")
     a = p.parse_args(args)
     builder = SparkSession.builder.appName(f"tesselark {a.name}")
     spark = (builder.master(f"local[{a.parallel}]") if a.parallel else builder).getOrCreate()
-    run(spark, Config.load(a.config), a.name, a.workspace, *a.corpora, files=a.file).show(100, truncate=False)
+    with cProfile.Profile() if a.profile else contextlib.nullcontext() as profile:
+        run(spark, Config.load(a.config), a.name, a.workspace, *a.corpora, files=a.file).show(100, truncate=False)
+    if profile:
+        profile.dump_stats(a.profile)

@@ -71,15 +71,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, sort: tuple[str, ...] = (), label: str = "buckets") -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, sort: tuple[str, ...] = (), label: str = "buckets", placed: bool = False) -> DataFrame:
     """Like :func:`cut`, with the rows in ``buckets`` by ``key``, one sorted file each: joins and aggregates on the key then
-    move no row. The catalog knows the table only until its plan is made."""
+    move no row. Rows that are ``placed`` are in that many partitions by the key already. The catalog knows the table only
+    until its plan is made; ``scratch`` of the result is its path, for :func:`free`."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     path = scratch_path(spark, label)
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*(sort or (key,))).option("path", path).saveAsTable(name)
+    rows = df if placed else df.repartition(buckets, key)
+    rows.write.format("parquet").bucketBy(buckets, key).sortBy(*(sort or (key,))).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018 - the plan is made here
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    out.scratch = path
     return out
 
 

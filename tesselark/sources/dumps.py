@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.schemas import DUMP_PAGE, RAW_ENTITY
+from tesselark.sources.tables import counted
 
 #: Names of published dump files.
 _ARTICLES = re.compile(r"wiki-(\d+)-pages-articles-multistream(\d*)\.xml(?:-p(\d+)p(\d+))?(?:\.bz2)?$")
@@ -92,7 +93,13 @@ def dump_redirects(dump: DataFrame, namespaces: list[int] = (0,)) -> DataFrame:
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """Entities of a JSON dump as :data:`RAW_ENTITY`: one a line, within the brackets of an array. Lines that cannot be
-    read, and empty claims written as arrays, give nulls."""
+    read are skipped; empty claims written as arrays give nulls."""
+    return read_entities_counted(spark, path)[0]
+
+
+def read_entities_counted(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """The same, and counters of all lines and of those that cannot be read."""
     line = F.regexp_replace("value", r"[,\]\s]+$", "")
     rows = spark.read.text(path).select(line.alias("line")).where(~F.col("line").isin("", "["))
-    return rows.select(F.from_json("line", RAW_ENTITY).alias("e")).where("e.id is not null").select("e.*")
+    good, seen = counted(rows.select(F.from_json("line", RAW_ENTITY).alias("e")), F.col("e.id").isNotNull())
+    return good.select("e.*"), seen

@@ -6,12 +6,16 @@ import json
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tesselark.operators.pages import SHARDS, with_shard
+from tesselark.runtime import bounded_collect
 from tesselark.schemas import DICTIONARY, WORD_COUNT
 
+#: Files of a sharded table; rows of a frequency table in YAML (larger ones are JSON lines).
+MAX_SHARDS, MAX_YAML = 100_000, 1_000_000
+
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A table or a folder of them; with the schema given, nothing is looked at before the scan."""
@@ -45,10 +49,36 @@ def upsert(old: DataFrame | None, new: DataFrame, key: str = "id", order: str |
 
 
 def read_one(path: str) -> dict:
-    """A single object, from JSON."""
-    if not path.endswith(".json"):
-        raise ValueError(f"{path}: objects are read from .json")
-    return json.loads(Path(path).read_text())
+    """A single object, from JSON, YAML or a Parquet file of one row."""
+    if path.endswith(".json"):
+        return json.loads(Path(path).read_text())
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(Path(path).read_text())
+    if path.endswith(".parquet"):
+        rows = SparkSession.active().read.parquet(path).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"{path} does not hold a single object")
+        return rows[0].asDict(recursive=True)
+    raise ValueError(f"{path}: objects are read from .json, .yaml and .parquet")
+
+
+def locate_shard(shards: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """``key, path``: the shard that holds each key, which is the first whose ``max`` is above the key; none if there is no such shard.
+    ``shards`` (``path, max``) is a list of files: bounded, and looked through by each worker."""
+    bounds = sorted((r["max"], r["path"]) for r in bounded_collect(shards.select("path", "max"), MAX_SHARDS, "the list of shards"))
+    ends = F.array(*(F.lit(m) for m, _ in bounds)) if bounds else F.array().cast("array<long>")
+    first = F.size(F.filter(ends, lambda m: m <= F.col(key)))
+    return keys.select(key, F.get(F.array(*(F.lit(p) for _, p in bounds)) if bounds else F.array().cast("array<string>"), first).alias("path"))
+
+
+def counted(rows: DataFrame, readable: Column) -> tuple[DataFrame, Observation]:
+    """Rows of which those that are not readable are skipped and counted: the rows left, and the counters ``rows`` and ``failed``, which are
+    known once the rows have been written or counted. Counting costs no pass of its own."""
+    seen = Observation()
+    ok = F.coalesce(readable, F.lit(False))
+    return rows.observe(seen, F.count("*").alias("rows"), F.count_if(~ok).alias("failed")).where(ok), seen
 
 
 def lookup(rows: DataFrame, keys: list, key: str = "id") -> DataFrame:
@@ -85,7 +115,13 @@ def read_frequency_tables(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_frequency_table(table: DataFrame, path: str) -> None:
-    """JSON lines of ``word`` and ``count``, the most frequent first."""
+    """``word`` and ``count``, the most frequent first: one YAML list, for tables meant to be read by people, or JSON lines."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        rows = bounded_collect(table.select("word", F.col("count").cast("long")).orderBy(F.desc("count"), "word"), MAX_YAML, "a frequency table in YAML")
+        Path(path).write_text(yaml.safe_dump([{"word": w, "count": n} for w, n in rows], allow_unicode=True, sort_keys=False))
+        return
     table.select("word", "count").orderBy(F.desc("count"), "word").write.mode("overwrite").json(path)
 
 

@@ -95,3 +95,45 @@ def test_reach_and_topics(spark):
     assert rows(graph.reachable(e)) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 2), (3, 3)]
     roots = spark.createDataFrame([(1,), (3,)], "id long")
     assert rows(graph.two_hop_topics(e, roots)) == [(2, 2), (3, 1)]
+
+
+def test_hubs_are_split_and_weigh_the_same(spark, monkeypatch):
+    pairs = [(1, i) for i in range(2, 60)] + [(i, 1) for i in range(2, 30)] + [(i, i + 1) for i in range(2, 59)] + [(1, 5)] * 3
+    want = {r.id: r.pagerank for r in graph.pagerank(edges(spark, pairs), steps=4).collect()}
+    monkeypatch.setattr(graph, "HUB_LINKS", 10)
+    walk = graph._Walk(graph.multiplicities(edges(spark, pairs)), graph.nodes_of(edges(spark, pairs)))
+    assert walk.split and walk.links.where("src = 1").select("key").distinct().count() == 6
+    assert {r.id: r.pagerank for r in graph.pagerank(edges(spark, pairs), steps=4).collect()} == pytest.approx(want)
+
+
+def test_plans_do_not_grow_with_the_steps(spark):
+    """Scans in the plan before any exchange is reused."""
+
+    def scans(steps):
+        plan = graph.pagerank(edges(spark, MULTI), steps=steps)._jdf.queryExecution().sparkPlan().toString()
+        return plan.count("FileScan")
+
+    assert scans(1) == scans(2) == scans(6) == 1
+
+
+def test_a_step_moves_no_link(spark):
+    walk = graph._Walk(graph.multiplicities(edges(spark, MULTI)), graph.nodes_of(edges(spark, MULTI)))
+    plan = walk.step(walk.start(F.lit(1.0)), 0.85, F.lit(0.15), 0.0)._jdf.queryExecution().executedPlan().toString()
+    tree = plan.split("FileScan parquet spark_catalog.default.links")[0].rsplit("Join", 1)[-1]
+    assert "Exchange" not in tree.rsplit("BroadcastExchange", 1)[0] or "BroadcastHashJoin" in plan
+
+
+def test_cached_distances(spark):
+    cache = graph.DistanceCache(edges(spark, [(1, 2), (2, 3), (3, 1), (None, 2)]))
+    assert [cache.distance(1, x) for x in (1, 2, 3, 9)] == [0, 1, 2, None] and list(cache.known) == [1]
+    assert cache.distance(3, 2) == 2
+
+
+def test_classes_of_ancestors_with_many_classes(spark):
+    from tesselark.operators import classify
+
+    parents = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (9, 10)], "id long, parent long")
+    labels = spark.createDataFrame([(i, c) for i, c in [(1, 7), (2, 8), (3, 150), (4, 3), (9, None)]] + [(3, c) for c in range(200, 300)], "id long, classification int")
+    circle = [7, 8, 150, *range(200, 300)]
+    got = {r.id: list(r.classes) for r in classify.ancestor_classes(parents, labels).collect()}
+    assert got == {1: circle, 2: circle, 3: circle, 4: sorted([3, *circle])}

@@ -10,6 +10,7 @@ from tesselark.operators import categories, classify, entities, pages, words
 from tesselark.plans import registry
 
 from .conftest import rows
+from .test_text import brute_tokens
 
 
 def test_redirects(spark):
@@ -143,7 +144,7 @@ def _ngrams(lines, least):
     while size != len(known):
         size = len(known)
         dictionary = frozenset(" ".join(w.split(" ")[: k + 1]) for w in known for k in range(w.count(" ") + 1))
-        tokens = [nlp.greedy(x, dictionary) for x in lines]
+        tokens = [brute_tokens(x, dictionary) for x in lines]
         pairs = Counter(f"{a} {b}" for x in tokens for a, b in zip(x, x[1:]) if a in dictionary and b in dictionary)
         known |= {w: k for w, k in pairs.items() if k >= least and w.count(" ") + 1 >= max(2, n)}
         n *= 2
