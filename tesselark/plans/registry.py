@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesselark.plans import analyses, reshaping
+from tesselark.plans import analyses, reshaping, sourced
 
-QUERIES = {**reshaping.QUERIES, **analyses.QUERIES}
-SQL = {**reshaping.SQL, **analyses.SQL}
+QUERIES = {**reshaping.QUERIES, **analyses.QUERIES, **sourced.QUERIES}
+SQL = {**reshaping.SQL, **analyses.SQL, **sourced.SQL}
