@@ -7,7 +7,7 @@ its anchor to both sides, to the ends of the words that its grammar takes in, an
 text is looked at.
 
 Given names are learned from the whole corpus first (:func:`learned_names`): those that stand with ``LEAST_FAMILIES`` family names in
-``LEAST_DOCUMENTS`` documents beside a cue that shows a name with any given name. They are then anchors wherever they stand, beside a short list of
+``LEAST_DOCUMENTS`` documents beside a cue that shows a name with any given name, and seldom enough without one. They are then anchors wherever they stand, beside a short list of
 names that are common in many countries.
 
 Kinds: ``email``, ``phone``, ``id_number`` (only beside a cue that names a personal number: bare numbers name objects),
@@ -66,8 +66,9 @@ SPEECH = "said says wrote writes told asked replied explained argued recalled ag
 LIVES = [" (born ", ", born ", " was born ", " (b. ", " née ", *(f" ({c}" for c in "12"), *(f" {w} " for w in SPEECH)]
 #: Cues of telephone numbers.
 DIALS = ["tel:", "tel.", "tel ", "phone:", "phone ", "telephone:", "telephone ", "mobile:", "mobile ", "fax:", "fax ", "telefon:", "telefon ", "tél.", "tél ", "móvil:", "тел."]
-#: A learned given name stands with so many family names, in so many documents, beside a cue.
-LEAST_FAMILIES, LEAST_DOCUMENTS = 2, 3
+#: A learned given name stands with so many family names, in so many documents, beside a cue, and has a cue in so great a part of the
+#: documents in which it stands before another capitalised word: words such as 'village' before its name do not.
+LEAST_FAMILIES, LEAST_DOCUMENTS, LEAST_SHARE = 2, 3, 0.15
 #: Learned names are held by every worker. Beyond this, raise the two numbers above.
 MAX_NAMES = 1_000_000
 #: Capitalised words before a family name that are no given name: openers of sentences, parts of place names, offices, months and days.
@@ -132,6 +133,7 @@ _BEFORE_LIFE = re.compile(r"(?<![\w’'.-])(" + _WORD + ")[   ]" + _INITIALS + "
 _BEFORE_FAMILY = re.compile(r"(?<![\w’'.@-])(" + _WORD + ")[   ]" + _INITIALS + _PARTICLE + r"?(?:" + _WORD + r"-)?$")
 _COMMA_GIVEN = re.compile(r",[  \n](" + _WORD + r")(?![\w’'@-])(?:[  ][A-ZА-Я]\.)?")
 _BORN = re.compile(r"(?: (?:" + "|".join(SPEECH) + r") | \(born |, born | was born | \(b\. | née | \((?:c\. ?)?\d{3,4} ?[–-] ?(?:\d{3,4})?\))")
+_CAPITAL_PAIR = re.compile(r"(?<![\w’'.@-])(" + _WORD + r")(?=[   ](?:[A-ZА-Я]\.[  ]){0,2}" + _PARTICLE + r"?[A-ZÀ-ÞА-ЯЁ])")
 _BACKWARD = re.compile(r"((?:" + _PARTICLE + r")?" + _WORD + r"),[  \n]$")
 
 
@@ -472,14 +474,15 @@ def _worker(name: str, given) -> Finder:
 
 def learned_names(documents: DataFrame, text: str = "text", families: int = LEAST_FAMILIES, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``given, families, documents``: given names, in lower case, that stand with enough family names in enough documents beside
-    a cue. All documents are read; what is shuffled are pairs of names, counted within each task first."""
+    a cue, and beside a cue often enough. All documents are read; what is shuffled are pairs of names and capitalised words,
+    counted within each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _worker("cues", None)
         for batch in batches:
-            pairs: dict[tuple[str, str], int] = {}
+            pairs: dict[tuple[str, str | None], int] = {}
             for t in batch.column(0).to_pylist():
-                for pair in finder.cued(t):
+                for pair in [*finder.cued(t), *((w, None) for w in {m[1].lower() for m in _CAPITAL_PAIR.finditer(t)})]:
                     pairs[pair] = pairs.get(pair, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g for g, _ in pairs], pa.string()), pa.array([f for _, f in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], names=["given", "family", "documents"]
@@ -487,8 +490,11 @@ def learned_names(documents: DataFrame, text: str = "text", families: int = LEAS
 
     rows = documents.where(F.length(text) > 0).select(text).mapInArrow(run, "given string, family string, documents long")
     pairs = rows.groupBy("given", "family").agg(F.sum("documents").alias("documents"))
-    names = pairs.groupBy("given").agg(F.count("*").alias("families"), F.sum("documents").alias("documents"))
-    return names.where((F.col("families") >= families) & (F.col("documents") >= least))
+    names = pairs.groupBy("given").agg(
+        F.count("family").alias("families"), F.sum(F.when(F.col("family").isNotNull(), F.col("documents"))).alias("documents"), F.sum(F.when(F.col("family").isNull(), F.col("documents"))).alias("paired")
+    )
+    enough = (F.col("families") >= families) & (F.col("documents") >= least) & (F.col("documents") >= LEAST_SHARE * F.coalesce("paired", F.lit(0)))
+    return names.where(enough).select("given", "families", "documents")
 
 
 def _known_names(documents: DataFrame, text: str, given_names: DataFrame | list[str] | None, learn: bool):

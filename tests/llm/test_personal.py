@@ -83,6 +83,9 @@ def test_names_are_learned_from_the_corpus(spark):
     """A given name of no list that stands beside cues elsewhere is an anchor where it has none."""
     cues = ["Dr. Quorvin Tal spoke", "Quorvin Besk (born 1911) was", "the late Quorvin Tal said so", "Ms. Ozrelle Pim came", "Ozrelle Pim was born here"]
     plain = ["a gift of Quorvin Hask to all", "a gift of Ozrelle Pim to all", "the Quorvin Bridge", None, ""]
+    # a word before the names of places, some of which end like family names
+    places = [f"the Dorp {x} lies" for x in ("Karlström", "Vinsky", "Walberg")] + [f"the Dorp Bral{i}um lies" for i in range(40)]
+    assert rows(personal.learned_names(spark.createDataFrame(list(enumerate(places)), "doc_id long, text string"))) == []
     df = spark.createDataFrame(list(enumerate(cues + plain)), "doc_id long, text string")
     learned = personal.learned_names(df)
     assert rows(learned) == [("quorvin", 2, 3)]  # the other stands with one family name
