@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselark.functions.fixed import PERSON_INFOBOXES
 from tesselark.functions.wikitext import clean_wikitext, wikitext_links
-from tesselark.runtime import cut
+from tesselark.runtime import Latest, Rounds, cut
 
 SHARDS = 100
 #: Rounds of doubling in which a chain of redirects must end: enough for 2**40 redirects in a row.
@@ -66,24 +66,28 @@ def resolve_redirects(targets: DataFrame, titles: DataFrame) -> DataFrame:
     """``title, destination, hops`` of every redirect, by pointer doubling.
 
     A title that an article has leads to itself, and so does a redirect to itself; a chain ends at an article or at what
-    redirects no further. Chains that run in a circle have no destination (null)."""
+    redirects no further. Chains that run in a circle have no destination (null). Rows whose end is known leave the loop."""
     articles = titles.select("title").distinct().withColumn("article", F.lit(True))
     rows = targets.join(articles, "title", "left")
-    moves = F.coalesce(F.col("article"), F.lit(False)) | (F.col("title") == F.col("redirect"))
-    at = cut(rows.select("title", F.when(moves, F.col("title")).otherwise(F.col("redirect")).alias("to"), F.when(moves, 0).otherwise(1).cast("long").alias("hops")), "at")
+    stays = F.coalesce(F.col("article"), F.lit(False)) | (F.col("title") == F.col("redirect"))
+    rows = cut(rows.select("title", F.col("redirect").alias("to"), F.when(stays, 0).otherwise(1).cast("long").alias("hops")), "at")
+    settled = Rounds(rows.where("hops = 0").select("title", F.col("title").alias("to"), "hops"), "settled")
+    moving = Latest(rows.where("hops > 0"), "moving")
     for _ in range(MAX_DOUBLINGS):
-        onward = at.select(F.col("title").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"))
-        both = at.join(onward, "to", "left")
-        new = cut(both.select("title", F.coalesce("further", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "at")
-        at = new.drop("moved")
-        # circles move for ever: once everything that still moves does so after more hops than there are titles, stop
-        state = new.agg(F.count_if("moved").alias("moved"), F.min(F.when(F.col("moved"), F.col("hops"))).alias("least"), F.count("*").alias("n")).first()
-        if not state["moved"] or state["least"] > state["n"]:
+        # where a row's target leads: on, if it still moves; to its end, if that is known; and else the target is the end
+        on = moving.df.select(F.col("title").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"), F.lit(False).alias("done"))
+        ends = settled.all().where("hops > 0").select(F.col("title").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"), F.lit(True).alias("done"))
+        jumped = moving.df.join(on.unionByName(ends), "to", "left").select(
+            "title", F.coalesce("further", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("done", F.lit(True)).alias("done")
+        )
+        jumped = cut(jumped, "jumped")
+        settled.add(jumped.where("done").drop("done"))
+        # of rows that have an end the nearest settles in each round: where none does, all that moves is in circles
+        if settled.last.isEmpty():
             break
-    # what still has somewhere to go is in a circle
-    onward = at.select(F.col("title").alias("to"), F.lit(True).alias("goes_on"), "hops")
-    circle = at.join(onward.where("hops > 0").select("to", "goes_on"), "to", "left")
-    return circle.select("title", F.when(F.col("goes_on"), F.lit(None)).otherwise(F.col("to")).alias("destination"), F.when(F.col("goes_on"), F.lit(None)).otherwise(F.col("hops")).alias("hops"))
+        moving.replace(jumped.where("not done").drop("done"))
+    nowhere = moving.df.select("title", F.lit(None).cast("string").alias("destination"), F.lit(None).cast("long").alias("hops"))
+    return settled.all().select("title", F.col("to").alias("destination"), "hops").unionByName(nowhere)
 
 
 def raw_links(pages: DataFrame, first: int | None = None) -> DataFrame:
