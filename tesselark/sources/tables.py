@@ -6,15 +6,18 @@ import json
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tesselark.operators.pages import SHARDS, with_shard
-from tesselark.runtime import bounded_collect
+from tesselark.runtime import bounded_collect, cut
 from tesselark.schemas import DICTIONARY, WORD_COUNT
 
-#: Files of a sharded table; rows of a frequency table in YAML (larger ones are JSON lines).
-MAX_SHARDS, MAX_YAML = 100_000, 1_000_000
+#: Ends of shards that a worker looks through (more are searched in pieces); rows of a frequency table in YAML (larger ones are JSON lines).
+MAX_SHARDS, MAX_YAML = 1_000_000, 1_000_000
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -65,12 +68,42 @@ def read_one(path: str) -> dict:
 
 
 def locate_shard(shards: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
-    """``key, path``: the shard that holds each key, which is the first whose ``max`` is above the key; none if there is no such shard.
-    ``shards`` (``path, max``) is a list of files: bounded, and looked through by each worker."""
-    bounds = sorted((r["max"], r["path"]) for r in bounded_collect(shards.select("path", "max"), MAX_SHARDS, "the list of shards"))
-    ends = F.array(*(F.lit(m) for m, _ in bounds)) if bounds else F.array().cast("array<long>")
-    first = F.size(F.filter(ends, lambda m: m <= F.col(key)))
-    return keys.select(key, F.get(F.array(*(F.lit(p) for _, p in bounds)) if bounds else F.array().cast("array<string>"), first).alias("path"))
+    """``key, path``: the shard that holds each key, which is the first whose ``max`` is above the key; none if there is no such shard, or no key.
+    Of shards (``path, max``) that end alike the first by path counts; one without an end holds nothing. Keys and ends are whole numbers.
+
+    The ends are searched by halving in each worker, and no key moves. If there are more than MAX_SHARDS, that is done with a share of them: these
+    cut keys and ends into pieces, and each piece is sorted downwards, so that a key has the end last seen before it."""
+    ends = shards.select("max", "path").where("max is not null")
+    listed = ends.limit(MAX_SHARDS + 1).toArrow()
+    if listed.num_rows <= MAX_SHARDS:
+        return _first_end(keys.select(key), key, listed, "path", ends.schema["path"].dataType)
+    ends = cut(ends.groupBy("max").agg(F.min("path").alias("path")), "ends")
+    count, last = ends.agg(F.count("*"), F.max("max")).first()
+    chosen = (F.pmod(F.xxhash64("max"), F.lit(-(-4 * count // MAX_SHARDS))) == 0) | (F.col("max") == last)  # the last, so that keys without a piece have no shard
+    cuts = ends.where(chosen).select("max", F.col("max").alias("path")).toArrow()
+    kind = ends.schema["max"].dataType
+    asked = _first_end(keys.select(F.col(key).alias("at")), "at", cuts, "piece", kind).withColumn("end", F.lit(None).cast(StructType([ends.schema["path"]])))
+    given = _first_end(ends.select(F.col("max").alias("at"), F.struct("path").alias("end")), "at", cuts, "piece", kind, "left").select("at", "piece", "end")
+    spread = F.when(F.col("piece").isNull(), F.xxhash64("at"))
+    down = Window.partitionBy("piece", spread).orderBy(F.desc("at"), F.col("end").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(given).withColumn("seen", F.last("end", ignorenulls=True).over(down))
+    return found.where("end is null").select(F.col("at").cast(keys.schema[key].dataType).alias(key), "seen.path")
+
+
+def _first_end(rows: DataFrame, value: str, ends: pa.Table, name: str, kind: DataType, side: str = "right") -> DataFrame:
+    """``rows`` with ``name``: the ``path`` of the first of the ends above ``value`` (with ``side`` left: at it or above)."""
+    order = ends.sort_by([("max", "ascending"), ("path", "ascending")])
+    shared, column = rows.sparkSession.sparkContext.broadcast((order["max"].cast("int64").to_numpy(), order["path"].combine_chunks())), rows.columns.index(value)
+
+    def run(batches):
+        tops, paths = shared.value
+        for b in batches:
+            values = b.column(column)
+            first = np.searchsorted(tops, values.cast("int64").fill_null(0).to_numpy(zero_copy_only=False), side)
+            none = (first == len(tops)) | values.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, paths.take(pa.array(first, mask=none))], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField(name, kind)]))
 
 
 def counted(rows: DataFrame, readable: Column) -> tuple[DataFrame, Observation]:

@@ -1,5 +1,6 @@
 import bz2
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,36 @@ jobs:
 """
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 8, 1])
+def test_locate_shard(spark, monkeypatch, bound):
+    """Shards looked through by each worker, and in pieces; against a search one by one."""
+    monkeypatch.setattr(tables, "MAX_SHARDS", bound)
+    rng = random.Random(bound)
+    shards = [(f"s{i}", rng.choice([-(2**62) - 1, 2**53 + 1, *range(-300, 300)])) for i in range(90)] + [("open", None), ("s", 2**53), ("b", 7), ("a", 7)]
+    keys = [None, None, 6, 7, 7, 2**53 - 1, 2**53, 2**53 + 1, 2**63 - 1, -(2**63), *(rng.randrange(-400, 400) for _ in range(300))]
+    ends = sorted((m, p) for p, m in shards if m is not None)
+    want = [(k, None if k is None else next((p for m, p in ends if m > k), None)) for k in keys]
+    found = tables.locate_shard(spark.createDataFrame(shards, "path string, max long"), spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert found.dtypes == [("k", "bigint"), ("path", "string")]
+    assert rows(found) == sorted(want, key=repr)
+    few = tables.locate_shard(spark.createDataFrame(shards, "path string, max long"), spark.range(5).select(F.col("id").cast("int")))
+    assert few.dtypes == [("id", "int"), ("path", "string")] and few.count() == 5
+    assert rows(tables.locate_shard(spark.createDataFrame([], "path string, max long"), spark.range(2))) == [(0, None), (1, None)]
+
+
+def test_locate_shard_many(spark):
+    """The plan does not grow with the shards, which a key is not compared with one by one."""
+    keys, size = spark.range(0, 1_440_000, 3), {}
+    for n in (10, 2000, 120_000):
+        shards = spark.range(n).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("path"), (F.col("id") * 11).alias("max"))
+        found = tables.locate_shard(shards, keys)
+        size[n] = len(found._jdf.queryExecution().analyzed().toJSON())
+        assert size[n] < 2 * size[10]
+    want = F.when(F.col("id") < 11 * (n - 1), F.concat(F.lit("s"), (F.floor(F.col("id") / 11) + 1).cast("string")))
+    assert found.where(~F.col("path").eqNullSafe(want)).count() == 0
+    assert found.count() == 480_000
+
+
 def test_jobs(spark, dump, tmp_path):
     (tmp_path / "config.yaml").write_text(CONFIG)
     config = jobs.Config.load(str(tmp_path / "config.yaml"))
